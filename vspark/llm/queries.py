@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, pii, quality_rules
 
-QUERIES = {"op1_mixing": mixing.op1_mixing}
+QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op9_pii": pii.op9_pii,
+}
 SQL = {"op1_mixing": mixing.SQL}
