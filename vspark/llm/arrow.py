@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import ship
+
 
 def with_computed(df: DataFrame, inputs: Sequence[str], keep: Sequence[str], added: T.StructType, make: Callable[[], Callable]) -> DataFrame:
     """df's `keep` columns and then the columns of `added`.
@@ -17,6 +19,7 @@ def with_computed(df: DataFrame, inputs: Sequence[str], keep: Sequence[str], add
     the row's added values as a tuple. A kept column with the name of an added one gives way to it. Memory: one
     Arrow batch and one row's working set.
     """
+    ship(df.sparkSession)
     names = {f.name for f in added}
     kept = [c for c in keep if c not in names]
     source = df.select(*[df[f"`{c}`"].alias(f"__in{i}") for i, c in enumerate(inputs)], *[df[f"`{c}`"].alias(f"__keep{i}") for i, c in enumerate(kept)])

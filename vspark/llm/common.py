@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once a context, so that their Python workers need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vspark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="vspark-package-")) / f"{package.name}_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc._vspark_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder; use it for narrow rows."""
     shared_dir(df.sparkSession)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality_rules
+from . import bpe, fingerprint, language, mixing, pii, quality_classifier, quality_rules
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_fingerprint": fingerprint.op6_fingerprint,
+    "op7_quality": quality_classifier.op7_quality,
+    "op8_language": language.op8_language,
     "op9_pii": pii.op9_pii,
+    "op10_bpe": bpe.op10_bpe,
 }
 SQL = {"op1_mixing": mixing.SQL}
