@@ -7,13 +7,11 @@ import hashlib
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import with_computed
-from .common import ship
 
 #: Lanes of 32 bits, summed modulo 2 ** 32: hashed as a whole for equality, and from stretches of code points for likeness.
 EXACT, LIKE = 32, 256
@@ -110,26 +108,20 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     a range is also sent to the range before as its last, so that each range finds its successors by itself:
     one shuffle of the texts. What comes to the driver is the first id of each range, MAX_PARTS at most.
     """
-    ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id").filter("doc_id is not null")
     parts = max(1, min(MAX_PARTS, -(-ids.count() // ROWS_A_PART)))
     ranged = ids.repartitionByRange(parts, "doc_id").withColumn("__part", F.spark_partition_id())
-    starts = np.array(sorted(r[0] for r in ranged.groupBy("__part").agg(F.min("doc_id")).collect()), dtype=np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(starts)
-
-    @F.pandas_udf("array<int>")
-    def ranges_of(doc_id: pd.Series) -> pd.Series:
-        """The range of a row, and, if its id begins one, the range before."""
-        starts = shared.value
-        null = doc_id.isna().to_numpy()
-        own = doc_id.fillna(0).astype("int64").to_numpy()
-        last = max(0, len(starts) - 1)
-        at = np.where(null, last, np.searchsorted(starts, own, side="right") - 1).clip(0)
-        first = ~null & (starts[at] == own) if len(starts) else null & False
-        return pd.Series([[int(k), int(k) - 1 if k else last] if f else [int(k)] for k, f in zip(at, first, strict=True)])
-
-    dealt = rows.select("doc_id", "text", F.posexplode(ranges_of(F.col("doc_id").cast("long"))).alias("__copy", "__range"))
+    starts = sorted(r["start"] for r in ranged.groupBy("__part").agg(F.min("doc_id").alias("start")).collect()) or [0]
+    table, own, n = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>"), F.col("doc_id"), len(starts)
+    # How many ranges begin at or before the row's id, by halving.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    begun = F.aggregate(steps, F.lit(0), lambda low, s: F.when((low + s <= n) & (F.get(table, low + s - 1) <= own), low + s).otherwise(low))
+    at = F.when(own.isNull(), n).otherwise(begun) - 1
+    rows = rows.withColumn("__at", at)
+    first = F.get(table, F.col("__at")) == own
+    before = F.when(F.col("__at") > 0, F.col("__at") - 1).otherwise(n - 1)
+    dealt = rows.select("doc_id", "text", F.posexplode(F.when(first, F.array("__at", before)).otherwise(F.array("__at"))).alias("__copy", "__range"))
     order = Window.partitionBy("__range").orderBy(F.col("__copy"), F.col("doc_id").asc_nulls_last(), F.col("text"))
     dealt = dealt.withColumn("next_text", F.lead("text").over(order)).filter("__copy = 0")
     return dealt.select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
