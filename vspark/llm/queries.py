@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, language, mixing, near_dedup, pii, quality_classifier, quality_rules
+from . import bpe, fingerprint, html_text, language, mixing, near_dedup, pii, quality_classifier, quality_rules
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op4_html_text": html_text.op4_html_text,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_quality": quality_classifier.op7_quality,
