@@ -226,6 +226,16 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence
     return _over(docs, ranks_path, pattern, keep, TOKENS, row)
 
 
+def encoded_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """docs without text, with token_ids and the digests of token_digests, all from one pass."""
+
+    def row(coder: ByteBPE, text: str) -> tuple:
+        ids = coder.encode(text)
+        return ids, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
+
+    return _over(docs, ranks_path, pattern, [c for c in docs.columns if c != "text"], T.StructType([*IDS, *TOKENS]), row)
+
+
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """docs with token_ids: the ids as little-endian unsigned 32-bit integers; null text gives no ids."""
     return _over(docs, ranks_path, pattern, docs.columns, IDS, lambda coder, text: (coder.encode(text),))
