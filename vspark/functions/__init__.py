@@ -1 +1 @@
-"""vspark.functions"""
+"""Column builders: pure expressions that stay within whole-stage code generation."""

@@ -1 +1 @@
-"""vspark.operators"""
+"""Operators: DataFrames in, DataFrames out."""

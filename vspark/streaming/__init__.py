@@ -1 +1 @@
-"""vspark.streaming"""
+"""Row-wise operators over unbounded inputs."""
