@@ -31,7 +31,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def float_text(value: Column) -> Column:
-    """A double as its shortest decimal text: 5.0, 0.0001, 1e-05, 12345678.0, 1e+16; exponents from 16 digits or below 0.0001."""
+    """A double as its shortest decimal text: 5.0, 0.0001, 1e-05, 12345678.0, 1e+16; exponents from 16 digits or below 0.0001. The digits are those of the JVM."""
 
     def layout(v: Column) -> Column:
         plain = v.cast("string")

@@ -46,10 +46,19 @@ def info_map(info: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, value))
 
 
+def info_entry(key: str, value: Column | None = None) -> Column:
+    """key=value, or the key alone as a flag if value is empty or not given; null stays null, so that it adds nothing."""
+    return F.lit(key) if value is None else F.when(value == "", F.lit(key)).when(value.isNotNull(), F.concat(F.lit(f"{key}="), value))
+
+
+def append_entries(info: Column, *entries: Column) -> Column:
+    """INFO with the entries that are not null behind it; a lone dot gives way to them."""
+    return bind(F.concat_ws(";", F.when(info != ".", info), *entries), lambda x: F.when(x == "", F.lit(".")).otherwise(x))
+
+
 def append_info(info: Column, key: str, value: Column | None = None) -> Column:
     """INFO with an entry more; null or empty value: a flag. A lone dot gives way to it."""
-    entry = F.lit(key) if value is None else F.when(value.isNull() | (value == ""), F.lit(key)).otherwise(F.concat(F.lit(f"{key}="), value))
-    return F.when(info == ".", entry).otherwise(F.concat(info, F.lit(";"), entry))
+    return append_entries(info, info_entry(key, None if value is None else F.coalesce(value, F.lit(""))))
 
 
 def replace_info(info: Column, key: str, value: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import annotation_chrom, float_text
-from ..functions.variant import append_info, features, gene_features, has_info, sample_genotype, variant_id
+from ..functions.variant import append_entries, features, gene_features, has_info, info_entry, sample_genotype, variant_id
 from ..operators import annotation, batches, compounds, models, scores
 from ..operators.models import Family
 from .rules import RankModel
@@ -40,13 +40,11 @@ def annotate(
         parts.append((annotation.score_lookup(places, deleteriousness, ["phred", "raw"]), {"CADD": F.col("phred"), "CADD_raw": F.col("raw")}))
     if known is not None:
         parts.append((annotation.known_sites(places, known).withColumn("COSMIC", F.lit(True)), {"COSMIC": None}))
-    out, info = keyed, F.col("info")
+    out, added = keyed, []
     for found, entries in parts:
         out = out.join(found, "idx", "left")
-        for key, value in entries.items():
-            there = F.col("COSMIC") if value is None else value
-            info = F.when(there.isNotNull(), append_info(info, key, None if value is None else value)).otherwise(info)
-    return out.withColumn("info", info).select(*variants.columns)
+        added += [F.when(F.col("COSMIC"), info_entry(key)) if value is None else info_entry(key, value) for key, value in entries.items()]
+    return out.withColumn("info", append_entries(F.col("info"), *added)).select(*variants.columns)
 
 
 def with_calls(variants: DataFrame, samples: Sequence[str], members: Sequence[str]) -> DataFrame:
@@ -92,11 +90,11 @@ def annotate_models(
         score = models.model_score(calls.values())
         model_scores.append(F.when((text != "") & (score > 0), F.concat(F.lit(f"{family.name}:"), score.cast("string"))))
         listed.append(F.coalesce(f"__p{n}", F.array().cast("array<string>")))
+    entries = []
     for name, value in (("Compounds", compounds.compound_text([f.name for f in families], listed)), ("GeneticModels", F.concat_ws(",", *texts)), ("ModelScore", F.concat_ws(",", *model_scores))):
-        # Here a lone dot stays in front.
-        entry = F.concat(info, F.lit(f";{name}="), value)
-        info = F.when(value.isNull() | (value == "") | has_info(F.col("info"), name), info).otherwise(entry)
-    return batched.withColumn("info", info).select(*variants.columns)
+        entries.append(F.when((value != "") & ~has_info(info, name), F.concat(F.lit(f"{name}="), value)))
+    # Here a lone dot stays in front.
+    return batched.withColumn("info", F.concat_ws(";", info, *entries)).select(*variants.columns)
 
 
 def score(variants: DataFrame, model: RankModel, family: str = "1", csq_columns: Sequence[str] = (), details: bool = False) -> DataFrame:
