@@ -151,7 +151,7 @@ def apply_rules(docs: DataFrame, references: dict[str, tuple[np.ndarray, np.ndar
     rows or languages gives no reference, and then only the base rules count. Repeated rows: each for itself.
     """
     references = language_references(docs) if references is None else references
-    both = tuple(np.array([r[k] for r in references.values()]).reshape(len(references), -1) for k in (0, 1))
+    both = tuple(np.array([r[k] for r in references.values()]).reshape(len(references), n) for k, n in ((0, CLASSES), (1, len(BINS) + 1)))
     return with_computed(docs, ["text"], keep, RULES, lambda: lambda text: judge(text, both))
 
 
