@@ -56,9 +56,9 @@ BODY = [
 
 #: Highest and lowest score of a word, and of a tag; between them they are learned. What lies within a region and scores
 #: below 0 by its own marks is left out anyway, so that it need not end the region.
-WORD_MOST, WORD_LEAST = 1.0, -0.1
-TAG_MOST, TAG_LEAST = -0.01, -0.3
-RIDGE = 0.05
+WORD_MOST, WORD_LEAST = 1.0, -0.05
+TAG_MOST, TAG_LEAST = -0.01, -0.1
+RIDGE = 0.01
 
 
 def labelled_pages() -> Iterator[str]:
