@@ -19,7 +19,7 @@ from .arrow import with_computed
 TEXT_LEAF = 1 << 16
 PIECE_LEAF = 32
 #: Entries of a task's table of encoded pieces; when it is full it is emptied, which changes no result.
-CACHE = 600_000
+CACHE = 250_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -107,7 +107,7 @@ class ByteBPE:
         """Whether the tokens a and b encode to themselves side by side."""
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) >= CACHE:
+            if len(self.pairs) >= CACHE // 2:
                 self.pairs.clear()
             got = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return got

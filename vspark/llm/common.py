@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the cluster (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
     sc = spark.sparkContext
@@ -25,7 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the executors, once a context, so that their Python workers need no copy of their own."""
+    """Send this package's sources to the executors, once a context, so that their Python workers need no copy of their own.
+
+    Batches for the workers are kept small, unless the session asks for other sizes: texts can be long, and each task holds a batch on both sides.
+    """
+    if spark.conf.get(ROWS, "10000") == "10000":
+        spark.conf.set(ROWS, "1000")
     sc = spark.sparkContext
     if getattr(sc, "_vspark_shipped", False):
         return

@@ -25,8 +25,8 @@ SMOOTH = 0.05
 UNDETERMINED = "und"
 START = "▁"
 #: Words in a task's table of scores; when it is full it is emptied, which changes no result. Code points scored at a time.
-CACHE = 400_000
-CHUNK = 4_000_000
+CACHE = 100_000
+CHUNK = 1_000_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -99,7 +99,7 @@ def by_length(words: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     for t in np.unique(lengths):
         at = np.flatnonzero(lengths == t)
-        step = max(1, CHUNK // int(t) // 16)
+        step = max(1, CHUNK // int(t) // 4)
         for k in range(0, len(at), step):
             part = at[k : k + step]
             codes = np.frombuffer("".join([marked[i] for i in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), int(t))
@@ -251,8 +251,11 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: Sequence[str]
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.p))
     kept = [c for c in keep if c not in PREDICTED.names]
-    source = docs.select(docs["text"].alias("__text"), *[docs[f"`{c}`"].alias(f"__keep{i}") for i, c in enumerate(kept)])
-    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(kept, source.schema.fields[1:], strict=True)] + list(PREDICTED))
+    # The text goes to the workers once, also where it is kept.
+    others = [c for c in kept if c != "text"]
+    source = docs.select(docs["text"].alias("__text"), *[docs[f"`{c}`"].alias(f"__keep{i}") for i, c in enumerate(others)])
+    place = {"text": 0} | {c: i + 1 for i, c in enumerate(others)}
+    schema = T.StructType([T.StructField(c, source.schema.fields[place[c]].dataType) for c in kept] + list(PREDICTED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = LanguageModel(*shared.value).scorer()
@@ -266,7 +269,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: Sequence[str]
                     part, size = [], 0
             made += score(part)
             added = [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(1 + i) for i in range(len(kept))] + added, names=kept + PREDICTED.names)
+            yield pa.RecordBatch.from_arrays([batch.column(place[c]) for c in kept] + added, names=kept + PREDICTED.names)
 
     return source.mapInArrow(run, schema)
 

@@ -20,7 +20,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 #: Texts in a block of a bucket; a bucket of more is compared block by block, each pair of blocks by itself.
 BLOCK = 1_000
-CACHE = 400_000
+#: Entries of a task's table of word hashes; when it is full it is emptied, which changes no result.
+CACHE = 100_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -43,15 +44,12 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
-
-
-def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def shingles(text: str | None, hashes: _Hashes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct stretches of SHINGLE words, lower case, and how often each occurs: its weight. Texts of fewer words are one stretch, texts without a word none."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0)
-    ids = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map((_Hashes() if hashes is None else hashes).__getitem__, words), np.uint64, len(words))
     n = max(1, len(ids) - SHINGLE + 1)
     h = np.zeros(n, np.uint64)
     for k in range(min(SHINGLE, len(ids))):
@@ -115,19 +113,24 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _keys_of(text: str | None) -> list[int] | None:
-    elements, weights = shingles(text)
+def _keys_of(text: str | None, hashes: _Hashes | None = None) -> list[int] | None:
+    elements, weights = shingles(text, hashes)
     return band_keys(dart_signature(elements, weights)).tolist() if len(elements) else None
 
 
-def _cells(text: str | None) -> bytes:
+def _cells(text: str | None, hashes: _Hashes | None = None) -> bytes:
     """The multiset of stretches as sorted hashes, the nth occurrence of one being an element of its own."""
-    elements, weights = shingles(text)
+    elements, weights = shingles(text, hashes)
     counts = weights.astype(np.int64)
     nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     return np.sort(_mixed(np.repeat(elements, counts) + nth.astype(np.uint64) * _A)).tobytes()
 
 
+def _per_task(f):
+    hashes = _Hashes()
+    return lambda text: (f(text, hashes),)
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float = SIMILARITY) -> Iterator[tuple[int, int]]:
     """Links that join each set of texts of at least this weighted Jaccard similarity, as positions: among left, or between left and right.
 
@@ -248,7 +251,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = texts.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), F.col("text"))}).filter("text is not null")
-    keyed = with_computed(named, ["text"], ["doc_id", "h1", "h2"], T.StructType([T.StructField("keys", T.ArrayType(T.LongType()))]), lambda: lambda text: (_keys_of(text),))
+    keyed = with_computed(named, ["text"], ["doc_id", "h1", "h2"], T.StructType([T.StructField("keys", T.ArrayType(T.LongType()))]), lambda: _per_task(_keys_of))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "keys"))
     found = keyed.groupBy("h1", "h2").agg(first.alias("f"))
     # The hashes stay with the representative's id for the last join; texts are not read again for it.
@@ -265,7 +268,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     # Several rows of one doc_id: the representative's text is one of them, told by its hashes.
     representatives = found.select("h1", "h2", F.col("representative").alias("doc_id")).join(wanted, "doc_id", "left_semi")
     compared = named.join(representatives, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
-    cells = with_computed(compared, ["text"], ["doc_id"], T.StructType([T.StructField("cells", T.BinaryType())]), lambda: lambda text: (_cells(text),))
+    cells = with_computed(compared, ["text"], ["doc_id"], T.StructType([T.StructField("cells", T.BinaryType())]), lambda: _per_task(_cells))
     grouped = pairs.join(cells, "doc_id").select("key", "low", "high", "mine", "doc_id", "cells")
     grouped = grouped.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id")
     links = grouped.mapInArrow(_link_groups, "u long, v long")
