@@ -1,0 +1,65 @@
+import random
+
+import pytest
+from helpers import ODD, documents
+
+from vspark.llm import mixing
+
+
+def water_fill(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    """Targets by the rule itself: cap, and share the excess anew until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, out, free = share * sum(sizes.values()), {}, set(names)
+    while free:
+        left = total - sum(out.values())
+        level = left / sum(w[s] for s in free)
+        over = {s for s in free if w[s] * level > most * sizes[s]}
+        if not over:
+            return out | {s: w[s] * level for s in free}
+        out |= {s: float(most * sizes[s]) for s in over}
+        free -= over
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_and_words_taken(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, " ".join(["w"] * (1 if rng.random() < 0.3 else rng.randint(0, 60))), "en", rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(1500)]
+    got = mixing.mix_sources(documents(spark, rows)).collect()
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    targets = water_fill(sizes)
+    assert sorted(r.doc_id for r in got) == list(range(1500))
+    for r in got:
+        assert r.target == pytest.approx(targets[r.source]) and r.source_size == sizes[r.source] and 0 <= r.copies <= 2 and r.taken == r.copies * r.size
+    for s, target in targets.items():
+        assert abs(sum(r.taken for r in got if r.source == s) - target) <= 130
+    again = {(r.doc_id, r.taken) for r in mixing.mix_sources(documents(spark, rows[::-1]).repartition(7)).collect()}
+    assert again == {(r.doc_id, r.taken) for r in got}
+
+
+def test_systematic_sampling_against_brute_force(spark):
+    rows = [(i, " ".join(["w"] * (i % 7)), "en", "s") for i in range(200)] + [(200 + i, "w", "en", "t") for i in range(50)]
+    got = {r.doc_id: r for r in mixing.mix_sources(documents(spark, rows)).collect()}
+    import hashlib
+    import math
+
+    bucket = lambda d: int(hashlib.md5(str(d).encode()).hexdigest()[:3], 16)
+    for source in "st":
+        u = (int(hashlib.md5((mixing.SEED + source).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        mine = sorted((r.size, bucket(r.doc_id), r.doc_id) for r in got.values() if r.source == source)
+        rate = got[mine[0][2]].target / got[mine[0][2]].source_size
+        for k, (_, _, d) in enumerate(mine, 1):
+            assert got[d].copies == math.floor(u + rate * k) - math.floor(u + rate * (k - 1))
+
+
+def test_odd_rows(spark):
+    docs = documents(spark, ODD, extra=True)
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(ODD) and {r.size for r in got if r.doc_id in (1, 2, 3)} == {0}
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
+    assert mixing.mix_sources(documents(spark, ODD).filter("false")).collect() == []
+    assert mixing.mix_sources(documents(spark, [(1, "", "en", "a")])).collect()[0].taken == 0
