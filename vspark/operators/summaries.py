@@ -32,3 +32,8 @@ def model_counts(variants: DataFrame, key: str = "GeneticModels") -> DataFrame:
     entries = F.split(info_value(F.col("info"), key), ",")
     models = F.array_distinct(F.flatten(F.transform(entries, lambda e: F.split(F.element_at(F.split(e, ":"), -1), r"\|"))))
     return variants.select(F.explode(models).alias("model")).groupBy("model").agg(F.count(F.lit(1)).alias("variants"))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """value: each row as a JSON object."""
+    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value"))
