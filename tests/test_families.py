@@ -1,6 +1,5 @@
 """Phases, healthy parents, single members and several families."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from records import TRIO, TRIO_PED, TRIO_SAMPLES, variant_file
@@ -22,54 +21,46 @@ def calls(**gts):
     return out
 
 
-def value(spark, column):
-    return spark.range(1).select(column).first()[0]
+def values(spark, columns):
+    return list(spark.range(1).select(*columns).first())
 
 
-@pytest.mark.parametrize(
-    ("one", "two", "phased", "pair"),
-    [
+def test_pairs(spark):
+    cases = [
         ({"kid": "0|1:1"}, {"kid": "0|1:1"}, True, False), ({"kid": "0|1:1"}, {"kid": "1|0:1"}, True, True), ({"kid": "0|1:1"}, {"kid": "0|1:2"}, True, True), ({"kid": "0|1:1"}, {"kid": "0|1:1"}, False, True),
         ({"kid": "0|1"}, {"kid": "0|1"}, True, True), ({"mum": "0/1"}, {"mum": "0/1"}, False, False), ({"mum": "0/1"}, {"dad": "0/1"}, False, True), ({"dad": "1/1"}, {"dad": "0/1"}, False, False),
-    ],
-)
-def test_pairs(spark, one, two, phased, pair):
+    ]
     base = {"kid": "0/1", "mum": "0/0", "dad": "0/0"}
-    assert value(spark, models.compound_pair(TRIO_FAMILY, calls(**(base | one)), calls(**(base | two)), phased)) is pair
+    assert values(spark, [models.compound_pair(TRIO_FAMILY, calls(**(base | a)), calls(**(base | b)), phased) for a, b, phased, _ in cases]) == [c[3] for c in cases]
 
 
-@pytest.mark.parametrize(
-    ("mum1", "dad1", "mum2", "dad2", "comp", "new"),
-    [("0/1", "0/0", "0/0", "0/1", True, False), ("0/1", "0/0", "0/0", "0/0", False, True), ("0/1", "./.", "0/0", "0/1", False, False)],
-)
-def test_what_pairs_set(spark, mum1, dad1, mum2, dad2, comp, new):
-    a, b = models.compound_flags(TRIO_FAMILY, calls(kid="0/1", mum=mum1, dad=dad1), calls(kid="0/1", mum=mum2, dad=dad2))
-    assert (value(spark, a), value(spark, b)) == (comp, new)
+def test_what_pairs_set(spark):
+    cases = [("0/1", "0/0", "0/0", "0/1", True, False), ("0/1", "0/0", "0/0", "0/0", False, True), ("0/1", "./.", "0/0", "0/1", False, False)]
+    columns = [x for m1, d1, m2, d2, *_ in cases for x in models.compound_flags(TRIO_FAMILY, calls(kid="0/1", mum=m1, dad=d1), calls(kid="0/1", mum=m2, dad=d2))]
+    assert values(spark, columns) == [x for c in cases for x in c[4:]]
 
 
-@pytest.mark.parametrize(
-    ("sex", "phenotype", "gt", "recessive", "dominant"),
-    [
+def test_x_linked(spark):
+    cases = [
         (1, 1, "0/1", False, False), (1, 1, "0/0", True, True), (2, 1, "0/1", True, True), (2, 1, "1/1", False, False), (1, 2, "0/1", True, True), (1, 2, "0/0", False, False), (2, 2, "0/1", False, True),
         (2, 2, "1/1", True, True), (2, 2, "./.", True, True), (0, 0, "1/1", True, True), (0, 1, "0/1", True, True),
-    ],
-)
-def test_x_linked(spark, sex, phenotype, gt, recessive, dominant):
-    family = Family("f", (Individual("i", sex=sex, phenotype=phenotype),))
-    assert (value(spark, models.x_recessive(family, calls(i=gt))), value(spark, models.x_dominant(family, calls(i=gt)))) == (recessive, dominant)
-    called = gt != "./."
-    assert value(spark, models.x_recessive(family, calls(i=gt), strict=True)) == (recessive and called)
-
-
-@pytest.mark.parametrize(
-    ("phenotype", "gt", "dominant", "recessive"),
-    [(1, "0/0", True, True), (1, "0/1", False, True), (1, "1/1", False, False), (2, "0/0", False, False), (2, "0/1", True, False), (2, "1/1", False, True), (2, "./.", True, True), (1, "./.", True, True), (0, "1/1", True, True)],
-)
-def test_autosomal(spark, phenotype, gt, dominant, recessive):
-    family = Family("f", (Individual("i", phenotype=phenotype),))
-    assert (value(spark, models.dominant(family, calls(i=gt))), value(spark, models.recessive(family, calls(i=gt)))) == (dominant, recessive)
-    if phenotype == 1:
-        assert value(spark, models.dominant(family, calls(i=gt), reduced_penetrance=F.lit(True))) == (gt != "1/1")
+    ]
+    columns, expected = [], []
+    for sex, phenotype, gt, recessive, dominant in cases:
+        family = Family("f", (Individual("i", sex=sex, phenotype=phenotype),))
+        columns += [models.x_recessive(family, calls(i=gt)), models.x_dominant(family, calls(i=gt)), models.x_recessive(family, calls(i=gt), strict=True)]
+        expected += [recessive, dominant, recessive and gt != "./."]
+    assert values(spark, columns) == expected
+
+
+def test_autosomal(spark):
+    cases = [(1, "0/0", True, True), (1, "0/1", False, True), (1, "1/1", False, False), (2, "0/0", False, False), (2, "0/1", True, False), (2, "1/1", False, True), (2, "./.", True, True), (1, "./.", True, True), (0, "1/1", True, True)]
+    columns, expected = [], []
+    for phenotype, gt, dominant, recessive in cases:
+        family = Family("f", (Individual("i", phenotype=phenotype),))
+        columns += [models.dominant(family, calls(i=gt)), models.recessive(family, calls(i=gt)), models.dominant(family, calls(i=gt), reduced_penetrance=F.lit(True))]
+        expected += [dominant, recessive, gt != "1/1" if phenotype == 1 else dominant]
+    assert values(spark, columns) == expected
 
 
 def test_two_families(spark, tmp_path):
