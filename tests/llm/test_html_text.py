@@ -27,6 +27,17 @@ def test_odd_pages(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize("attributes", ["class='overflow-hidden'", 'aria-hidden="false"', "title='the hidden valley'", "data-x=hidden", "style='--display:none'", "style='display:none;display:block'", "data-hidden", "title='display:none'"])
+def test_words_that_hide_nothing(attributes):
+    assert H.main_text(f"<body {attributes}><article>{ARTICLE}</article></body>") == TEXT
+    assert H.main_text(f"<article><p>One two <a href='/hidden-gems' {attributes}>three</a> four.</p></article>") == "One two three four."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN", "hidden=''", "class=x hidden", "aria-hidden=true", "aria-hidden = 'True'", "style='color:red; Display : none'", 'style="display:none!important;display:block"', "class='a'hidden"])
+def test_hidden_elements(attributes):
+    assert H.main_text(f"<article>{ARTICLE}<p {attributes}>not to be seen</p></article>") == TEXT
+
+
 def test_best_region_against_all_stretches():
     import random
 

@@ -25,9 +25,12 @@ IMPLIED = {"p": "p", "li": "li", "dt": "d", "dd": "d", "tr": "tr", "td": "td", "
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<([/!?]?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([/!?]?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# A quote that is not closed holds the rest.
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s\"'>][^\s>]*+)))?+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Only attributes with one of these words in them can hide an element.
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_STYLE_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
 # Labelled pages are put together from these: b words are boilerplate, c words are content.
 BOILERPLATE = [
@@ -88,12 +91,36 @@ class Open:
     hidden: bool = False
 
 
+def _attributes(attributes: str) -> dict[str, str]:
+    """Values by name in lower case, '' where there is none; of several of one name the first."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def _hides(attributes: str) -> bool:
+    """Whether an element is hidden: by an attribute hidden, by aria-hidden of the value true, or by the display:none that counts in its style."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    found = _attributes(attributes)
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    display, fixed = "", False
+    for declaration in _STYLE_COMMENT.sub(" ", found.get("style", "")).split(";"):
+        name, _, value = declaration.partition(":")
+        value, _, important = value.lower().partition("!")
+        if name.strip().lower() == "display" and (important or not fixed):
+            display, fixed = value.strip(), bool(important)
+    return display == "none"
+
+
 def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     """An element's marks: its name, and the words of its class, id, role and itemprop."""
     marks = [f"<{tag}>"]
-    for name, a, b, c in _ATTRIBUTE.findall(attributes) if "=" in attributes else ():
-        if name.lower() in ("class", "id", "role", "itemprop"):
-            marks += [w.lower() for w in _NAME.findall(a or b or c)]
+    for name, value in _attributes(attributes).items() if "=" in attributes else ():
+        if name in ("class", "id", "role", "itemprop"):
+            marks += [w.lower() for w in _NAME.findall(value)]
     return tuple(dict.fromkeys(marks))
 
 
@@ -143,7 +170,7 @@ def parse(page: str) -> Iterator[Run]:
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = close.end() if close else end
             elif tag not in VOID and not attributes.endswith("/"):
-                unseen = bool(_HIDDEN.search(attributes)) if attributes else False
+                unseen = _hides(attributes)
                 marks = () if tag in INLINE and tag != "a" else _marks(tag, attributes)
                 above = stack[-1].context
                 # The context is shared with the element above where nothing is added to it, and holds each mark once.
