@@ -38,6 +38,21 @@ def test_hidden_elements(attributes):
     assert H.main_text(f"<article>{ARTICLE}<p {attributes}>not to be seen</p></article>") == TEXT
 
 
+@pytest.mark.parametrize(
+    ("within", "text"),
+    [("<svg class=icon />", ""), ("<svg><path d='M0'/><title>no</title><text>no</text></svg>", ""), ("<svg><title/><path></svg>", ""), ("<svg><foreignObject><p>no</p></foreignObject></svg>", ""), ("<svg><path d='M0'>", ""), ("<svg><style>no", ""), ("<svg><svg><path/></svg>no</svg>", ""),
+     ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold", "Let x=2 hold\n"), ("<math/>", ""), ("<math><mi>x</mi>", "x\n"), ("<math><semantics><mi>x</mi><annotation>no</annotation></semantics></math>", "x\n"), ("<xmp>if a <b> &amp; c</xmp>", "if a <b> &amp; c\n"), ("<xmp hidden>no</xmp>", ""), ("<video src=x/>", ""), ("<object>", "")],
+)
+def test_drawings_formulas_and_raw_text(within, text):
+    page = f"<article><p>First words here.</p>{within}<p>Last words here.</p></article>"
+    assert H.main_text(page) == f"First words here.\n{text}Last words here."
+    assert H.main_text(page + "<svg><path/></svg>") == H.main_text(page)
+
+
+def test_xmp_left_open():
+    assert H.main_text("<article><p>First words here.</p><xmp>a <b> c") == "First words here.\na <b> c"
+
+
 def test_best_region_against_all_stretches():
     import random
 
@@ -56,6 +71,13 @@ def test_time_is_linear():
         assert time.time() - began < 20
 
 
+def test_time_is_linear_in_drawings():
+    for page in ("<video>" * 100_000, "<svg>" * 100_000 + "<p>x", "<svg><foreignObject>" + "<div>" * 100_000, "<svg><title>" * 50_000, "<svg><p>" * 50_000):
+        began = time.time()
+        H.main_text(page)
+        assert time.time() - began < 20
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in H.extract_text(df).collect()) == [(1, TEXT, len(TEXT)), (2, "", 0), (2, "", 0)]

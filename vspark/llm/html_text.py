@@ -17,8 +17,15 @@ from .arrow import with_computed
 
 # Fixed values of the HTML standard: elements that stay in a line, that have no content, whose content is no markup.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output q ruby rt s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements of formulas; they stay in a line too.
+MATH = frozenset("math semantics maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover none".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas select noframes xmp audio video".split())
+RAW = frozenset("script style title textarea noscript template iframe object canvas select noframes audio video".split())
+#: Of RAW, those whose content is markup after all: without an end tag they are read on after.
+MARKUP = frozenset("noscript template object canvas select audio video".split())
+#: The elements of a drawing that hold markup of the page again, and the other start tags, besides CLOSES_P, that end a drawing left open.
+INTEGRATION = frozenset("foreignobject desc title".split())
+ENDS_SVG = frozenset("b big body br center code dd dt em embed head i img li listing main menu meta nobr ruby s small span strong strike sub sup tt u var".split())
 #: An end or start tag of these closes an open one of the same group.
 IMPLIED = {"p": "p", "li": "li", "dt": "d", "dd": "d", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 #: Start tags that close an open paragraph.
@@ -89,6 +96,8 @@ class Open:
     tag: str
     context: tuple
     hidden: bool = False
+    #: Whether what comes next is part of a drawing.
+    drawing: bool = False
 
 
 def _attributes(attributes: str) -> dict[str, str]:
@@ -125,10 +134,11 @@ def _marks(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def parse(page: str) -> Iterator[Run]:
-    """Tags and texts of a page in order, with implied end tags; scripts, styles, comments and hidden elements are passed over. Time is linear in the page."""
+    """Tags and texts of a page in order, with implied end tags; scripts, styles, comments and hidden elements are passed over, drawings (svg) too. The text of formulas (math, without its annotations, which no browser shows) and of xmp stays. Time is linear in the page."""
     stack: list[Open] = [Open("", ())]
     count: Counter[str] = Counter()
     hidden = 0
+    endless: set[str] = set()
 
     def pop() -> None:
         nonlocal hidden
@@ -149,13 +159,16 @@ def parse(page: str) -> Iterator[Run]:
         if not tag or kind in ("!", "?"):
             continue
         tag = tag.lower()
-        breaks = tag not in INLINE
+        breaks = tag not in INLINE and tag not in MATH
         if kind == "/":
             if count[tag] > 0:
                 while stack[-1].tag != tag:
                     pop()
                 pop()
         else:
+            if stack[-1].drawing and (tag in CLOSES_P or tag in ENDS_SVG):
+                while stack[-1].drawing:
+                    pop()
             group = IMPLIED.get(tag)
             if group and len(stack) > 1 and IMPLIED.get(stack[-1].tag) == group:
                 pop()
@@ -166,16 +179,32 @@ def parse(page: str) -> Iterator[Run]:
                 if stack[k].tag == "p":
                     while len(stack) > k:
                         pop()
-            if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            drawing = stack[-1].drawing
+            if attributes.endswith("/") and (drawing or tag in ("svg", "math")):
+                pass
+            elif tag in RAW and not (drawing and tag in INTEGRATION):
+                close = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if close:
+                    at = close.end()
+                elif tag in MARKUP or drawing:
+                    endless.add(tag)
+                else:
+                    at = end
+            elif tag == "xmp":
+                # Its content is text as it stands, so that main_text() must not read references in it.
+                close = re.compile(r"</xmp\s*>", re.I).search(page, at)
+                text = page[at : close.start() if close else end]
                 at = close.end() if close else end
+                if not hidden and not _hides(attributes):
+                    yield Run(None, tag, breaks=breaks)
+                    yield Run(entities.escape(text, quote=False), context=stack[-1].context)
             elif tag not in VOID and not attributes.endswith("/"):
-                unseen = _hides(attributes)
-                marks = () if tag in INLINE and tag != "a" else _marks(tag, attributes)
+                unseen = tag in ("svg", "annotation", "annotation-xml") or bool(attributes) and _hides(attributes)
+                marks = () if tag in INLINE and tag != "a" or tag in MATH else _marks(tag, attributes)
                 above = stack[-1].context
                 # The context is shared with the element above where nothing is added to it, and holds each mark once.
                 new = tuple(x for x in marks if x not in above) if len(above) < 64 else ()
-                stack.append(Open(tag, above + new if new else above, unseen))
+                stack.append(Open(tag, above + new if new else above, unseen, tag == "svg" or drawing and tag not in INTEGRATION))
                 count[tag] += 1
                 hidden += unseen
         if not hidden:
