@@ -53,6 +53,21 @@ def test_xmp_left_open():
     assert H.main_text("<article><p>First words here.</p><xmp>a <b> c") == "First words here.\na <b> c"
 
 
+@pytest.mark.parametrize("depth", [1, 200])
+def test_marks_count_at_any_depth(depth):
+    around = "".join(f"<div class='u{chr(97 + k % 26)}{chr(97 + k // 26)}x qz{chr(97 + k // 26)}{chr(97 + k % 26)}'>" for k in range(depth))
+    noise = "<nav><a>b b</a></nav><aside><p>b b b b b b</p></aside><form><label>b b b</label></form><ul class='comment-list'><li>b b b b b b b</li></ul>"
+    assert H.main_text(f"<body>{around}{noise}<article>{ARTICLE}</article>{noise}") == TEXT
+    assert H.main_text(f"<body>{around}<article>{ARTICLE}{noise}<p>Nine ten eleven twelve.</p></article>") == TEXT + "\nNine ten eleven twelve."
+
+
+def test_time_is_linear_in_marks():
+    page = "".join(f"<div class='m{k:x}'>x" for k in range(20_000))
+    began = time.time()
+    H.main_text(page)
+    assert time.time() - began < 20
+
+
 def test_best_region_against_all_stretches():
     import random
 

@@ -81,24 +81,36 @@ def labelled_pages() -> Iterator[str]:
             yield "<html><head><title>b b</title></head><body>" + "".join(own[:3]) + container.format(body.format(own[3])) + "".join(own[4:]) + "</body></html>"
 
 
-@dataclass
-class Run:
-    """Text between two tags, with the marks of the elements around it; or a tag, where text is None."""
-
-    text: str | None
-    tag: str = ""
-    context: tuple = ()
-    breaks: bool = False
-
-
 @dataclass
 class Open:
+    """An element that is open: its marks that no element above has, and the sum of the weights of these and of all marks above."""
+
     tag: str
-    context: tuple
+    above: Open | None = None
+    own: tuple = ()
+    total: float = 0.0
     hidden: bool = False
     #: Whether what comes next is part of a drawing.
     drawing: bool = False
 
+    def marks(self) -> tuple:
+        """All marks, the outermost first. It takes the depth of the element; learning alone asks for it."""
+        parts, at = [], self
+        while at:
+            parts.append(at.own)
+            at = at.above
+        return tuple(m for own in reversed(parts) for m in own)
+
+
+@dataclass
+class Run:
+    """Text between two tags, with the element around it; or a tag, where text is None."""
+
+    text: str | None
+    tag: str = ""
+    within: Open | None = None
+    breaks: bool = False
+
 
 def _attributes(attributes: str) -> dict[str, str]:
     """Values by name in lower case, '' where there is none; of several of one name the first."""
@@ -133,10 +145,11 @@ def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(marks))
 
 
-def parse(page: str) -> Iterator[Run]:
-    """Tags and texts of a page in order, with implied end tags; scripts, styles, comments and hidden elements are passed over, drawings (svg) too. The text of formulas (math, without its annotations, which no browser shows) and of xmp stays. Time is linear in the page."""
-    stack: list[Open] = [Open("", ())]
+def parse(page: str, weight: Callable[[str], float] = lambda mark: 0.0) -> Iterator[Run]:
+    """Tags and texts of a page in order, with implied end tags; scripts, styles, comments and hidden elements are passed over, drawings (svg) too. The text of formulas (math, without its annotations, which no browser shows) and of xmp stays. Time is linear in the page: each element, at any depth, adds its own marks' weights to the sum of the one above."""
+    stack: list[Open] = [Open("")]
     count: Counter[str] = Counter()
+    seen: set[str] = set()
     hidden = 0
     endless: set[str] = set()
 
@@ -145,13 +158,14 @@ def parse(page: str) -> Iterator[Run]:
         gone = stack.pop()
         count[gone.tag] -= 1
         hidden -= gone.hidden
+        seen.difference_update(gone.own)
 
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
         if text and not hidden:
-            yield Run(text, context=stack[-1].context)
+            yield Run(text, within=stack[-1])
         if not m:
             break
         at = m.end()
@@ -197,14 +211,15 @@ def parse(page: str) -> Iterator[Run]:
                 at = close.end() if close else end
                 if not hidden and not _hides(attributes):
                     yield Run(None, tag, breaks=breaks)
-                    yield Run(entities.escape(text, quote=False), context=stack[-1].context)
+                    yield Run(entities.escape(text, quote=False), within=stack[-1])
             elif tag not in VOID and not attributes.endswith("/"):
                 unseen = tag in ("svg", "annotation", "annotation-xml") or bool(attributes) and _hides(attributes)
                 marks = () if tag in INLINE and tag != "a" or tag in MATH else _marks(tag, attributes)
-                above = stack[-1].context
-                # The context is shared with the element above where nothing is added to it, and holds each mark once.
-                new = tuple(x for x in marks if x not in above) if len(above) < 64 else ()
-                stack.append(Open(tag, above + new if new else above, unseen, tag == "svg" or drawing and tag not in INTEGRATION))
+                above = stack[-1]
+                # Each mark counts once, for the outermost element that has it.
+                new = tuple(x for x in marks if x not in seen)
+                seen.update(new)
+                stack.append(Open(tag, above, new, above.total + sum(map(weight, new)), unseen, tag == "svg" or drawing and tag not in INTEGRATION))
                 count[tag] += 1
                 hidden += unseen
         if not hidden:
@@ -218,22 +233,22 @@ class Weights:
     bias: float
     marks: dict[str, float]
     tags: dict[str, float]
-    known: dict[tuple, float] = field(default_factory=dict)
+    known: dict[str, float] = field(default_factory=dict)
 
     def mark(self, name: str) -> float:
         if name in self.marks or name[0] == "<":
             return self.marks.get(name, 0.0)
-        # A compound takes the weight of the strongest longer mark within it.
-        return min((w for k, w in self.marks.items() if len(k) > 4 and k[0] != "<" and k in name), default=0.0)
-
-    def word(self, context: tuple) -> float:
-        got = self.known.get(context)
+        got = self.known.get(name)
         if got is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            got = self.known[context] = max(WORD_LEAST, min(WORD_MOST, self.bias + sum(map(self.mark, context))))
+            # A compound takes the weight of the strongest longer mark within it.
+            got = self.known[name] = min((w for k, w in self.marks.items() if len(k) > 4 and k[0] != "<" and k in name), default=0.0)
         return got
 
+    def word(self, within: Open) -> float:
+        return max(WORD_LEAST, min(WORD_MOST, self.bias + within.total))
+
 
 @lru_cache(maxsize=1)
 def learned() -> Weights:
@@ -247,7 +262,7 @@ def learned() -> Weights:
         for i, run in enumerate(runs):
             if run.text is not None:
                 words = run.text.split()
-                seen[run.context, "c" in words] += len(words)
+                seen[run.within.marks(), "c" in words] += len(words)
                 last = words[0] if words else last
             else:
                 follows = next((r.text.split()[0] for r in runs[i + 1 :] if r.text and r.text.split()), "b")
@@ -287,8 +302,8 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
     if not page:
         return ""
     weights = weights or learned()
-    runs = list(parse(page))
-    word = [weights.word(r.context) if r.text is not None else 0.0 for r in runs]
+    runs = list(parse(page, weights.mark))
+    word = [weights.word(r.within) if r.text is not None else 0.0 for r in runs]
     scores = [len(r.text.split()) * w if r.text is not None else weights.tags.get(r.tag, TAG_MOST) for r, w in zip(runs, word, strict=True)]
     start, end = region(scores)
     blocks, block = [], []
