@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that of the least doc_id."""
-    return near_dedup.deduplicated(docs)
+    """One document of each class of near-duplicates: that of the least doc_id, or one without doc_id if the class has no other."""
+    return near_dedup.one_of_each_class(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

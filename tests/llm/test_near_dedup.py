@@ -94,3 +94,22 @@ def test_odd_rows(spark):
     kept = N.deduplicated(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7]
     assert N.near_duplicates(docs.filter("false")).collect() == []
+
+
+def test_rows_without_or_of_one_doc_id(spark):
+    a, b, c, d = (words(k, 60) for k in range(4))
+    rows = [(None, a), (None, a), (None, b), (None, edited(b, 1, 0.01)), (7, edited(b, 2, 0.01)), (8, c), (8, d), (9, edited(d, 3, 0.01)), (8, c), (10, None), (10, None), (None, None)]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows], extra=True)
+    kept = N.one_of_each_class(docs)
+    texts = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and Counter(texts) == Counter([(None, a), (7, rows[4][1]), (8, c), (8, d), (10, None), (None, None)])
+    got = Counter((r.doc_id, r.class_id) for r in N.near_duplicates(docs).collect())
+    assert got == Counter([(None, None)] * 3 + [(None, 7)] * 2 + [(7, 7)] + [(8, 8)] * 3 + [(9, 8)] + [(10, 10)] * 2)
+    assert N.one_of_each_class(docs.filter("false")).collect() == []
+
+
+def test_pipeline_keeps_documents_without_doc_id(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = documents(spark, [(1, words(1, 30), "en", "s"), (None, words(2, 30), "en", "s")])
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).count() == 2

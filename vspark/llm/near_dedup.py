@@ -235,6 +235,55 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select("u", F.col("v").alias("root"))
 
 
+def _hashed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns of docs with the text's hashes h1 and h2, and with doc_id as no_id and id, which are never null."""
+    added = [F.xxhash64("text").alias("__h1"), F.xxhash64(F.lit(7), F.col("text")).alias("__h2"), F.col("doc_id").isNull().alias("__no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id")]
+    return docs.select(*[f"`{c}`" for c in columns], *added)
+
+
+#: What tells a row up to equal texts of one doc_id.
+_KEY = ["__h1", "__h2", "__no_id", "__id"]
+
+
+def text_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """__h1, __h2, representative, class_id of every distinct text but null, and `first`: whether it is the class's text of the least doc_id.
+
+    A text is a node by itself, whatever the doc_ids of its rows; doc_id only gives the order. Texts without doc_id come
+    after all others, ties go by the text's hashes, so that each class has just one first text.
+    """
+    ship(docs.sparkSession)
+    named = _hashed(docs.filter("text is not null"), "text")
+    keyed = with_computed(named, ["text"], _KEY, T.StructType([T.StructField("keys", T.ArrayType(T.LongType()))]), lambda: _per_task(_keys_of))
+    found = keyed.groupBy("__h1", "__h2").agg(F.min(F.struct("__no_id", "__id", "keys")).alias("f"))
+    # The hashes stay with the representative's id for the last join; texts are not read again for it.
+    found = cut(found.select("__h1", "__h2", "f.__no_id", "f.__id", "f.keys", F.monotonically_increasing_id().alias("node")))
+    banded = found.select(F.explode("keys").alias("key"), "node")
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"))
+    single = buckets.filter("n > 1").groupBy("n", "lo", "hi", "all").agg(F.min("key").alias("key"))
+    members = cut(banded.join(single.select("key", "n"), "key"))
+    blocks = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
+    members = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node")
+    wanted = members.select("node").distinct()
+    # One row of each text is compared, one with the representative's id.
+    representatives = found.select(*_KEY, "node").join(wanted, "node", "left_semi")
+    compared = named.join(representatives, _KEY).dropDuplicates(_KEY)
+    cells = with_computed(compared, ["text"], ["node"], T.StructType([T.StructField("cells", T.BinaryType())]), lambda: _per_task(_cells))
+    grouped = pairs.join(cells, "node").select("key", "low", "high", "mine", "node", "cells")
+    grouped = grouped.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    links = grouped.mapInArrow(_link_groups, "u long, v long")
+    roots = components(links)
+    tied = roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
+    ids = tied.join(found.select(F.col("node").alias("u"), F.struct("__no_id", "__id", "__h1", "__h2").alias("order")), "u")
+    classes = ids.select("u", "order", "root").join(ids.groupBy("root").agg(F.min("order").alias("least")), "root").select("u", "order", "least")
+    texts = found.select(*_KEY, "node").join(classes, F.col("node") == F.col("u"), "left")
+    id_of = lambda no, i: F.when(~F.col(no), F.col(i))
+    alone = F.col("least").isNull()
+    class_id = F.when(alone, id_of("__no_id", "__id")).otherwise(id_of("least.__no_id", "least.__id"))
+    return texts.select("__h1", "__h2", id_of("__no_id", "__id").alias("representative"), class_id.alias("class_id"), (alone | (F.col("order") == F.col("least"))).alias("first"))
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, representative (least doc_id of equal texts), class_id (least doc_id of the class) of every row.
 
@@ -245,48 +294,32 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     no task holds a bucket, and none is cut short. Buckets of the same members are compared once.
 
     Null text: a class of its own (class_id its doc_id). Texts without a word: equal ones are one class, nothing
-    else is. Null doc_id: the class of equal texts, null if there is none. Repeated rows: equal texts. Empty
+    else is. Null doc_id: compared like any other; representative and class_id are null where no row of the equal texts,
+    or of the class, has one. Several texts of one doc_id: each by itself. Repeated rows: equal texts. Empty
     tables: no rows. Other columns are not read.
     """
-    ship(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = texts.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), F.col("text"))}).filter("text is not null")
-    keyed = with_computed(named, ["text"], ["doc_id", "h1", "h2"], T.StructType([T.StructField("keys", T.ArrayType(T.LongType()))]), lambda: _per_task(_keys_of))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "keys"))
-    found = keyed.groupBy("h1", "h2").agg(first.alias("f"))
-    # The hashes stay with the representative's id for the last join; texts are not read again for it.
-    found = cut(found.select("h1", "h2", F.col("f.doc_id").alias("representative"), F.col("f.keys").alias("keys")))
-    banded = found.filter("representative is not null").select(F.explode("keys").alias("key"), F.col("representative").alias("doc_id"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("all"))
-    single = buckets.filter("n > 1").groupBy("n", "lo", "hi", "all").agg(F.min("key").alias("key"))
-    members = cut(banded.join(single.select("key", "n"), "key"))
-    blocks = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "doc_id")
-    wanted = members.select("doc_id").distinct()
-    # Several rows of one doc_id: the representative's text is one of them, told by its hashes.
-    representatives = found.select("h1", "h2", F.col("representative").alias("doc_id")).join(wanted, "doc_id", "left_semi")
-    compared = named.join(representatives, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
-    cells = with_computed(compared, ["text"], ["doc_id"], T.StructType([T.StructField("cells", T.BinaryType())]), lambda: _per_task(_cells))
-    grouped = pairs.join(cells, "doc_id").select("key", "low", "high", "mine", "doc_id", "cells")
-    grouped = grouped.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id")
-    links = grouped.mapInArrow(_link_groups, "u long, v long")
-    roots = components(links)
-    classes = found.select("h1", "h2", "representative").join(roots, F.col("representative") == F.col("u"), "left")
-    classes = classes.select("h1", "h2", "representative", F.coalesce("root", "representative").alias("class_id"))
-    rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.col("text")).alias("h2"), F.col("text").isNull().alias("no_text"))
-    with_text = rows.filter("not no_text").join(classes, ["h1", "h2"]).select("doc_id", "representative", "class_id")
-    without = rows.filter("no_text").select("doc_id", F.col("doc_id").alias("representative"), F.col("doc_id").alias("class_id"))
+    classes = text_classes(docs, block).drop("first")
+    with_text = _hashed(docs.filter("text is not null"), "doc_id").join(classes, ["__h1", "__h2"]).select("doc_id", "representative", "class_id")
+    without = docs.filter("text is null").select("doc_id", F.col("doc_id").alias("representative"), F.col("doc_id").alias("class_id"))
     return with_text.unionByName(without)
 
 
+def one_of_each_class(docs: DataFrame, **kwargs) -> DataFrame:
+    """docs with one row of each class: one of its least doc_id, or one without doc_id if the class has no other.
+
+    Null text: a class by doc_id; each row with neither text nor doc_id stays.
+    """
+    firsts = text_classes(docs, **kwargs).filter("first")
+    firsts = firsts.select("__h1", "__h2", F.col("representative").isNull().alias("__no_id"), F.coalesce("representative", F.lit(0)).alias("__id"))
+    rows = _hashed(docs.filter("text is not null"), *docs.columns).join(firsts, _KEY, "left_semi").dropDuplicates(_KEY)
+    without = docs.filter("text is null")
+    columns = [f"`{c}`" for c in docs.columns]
+    return rows.select(*columns).unionByName(without.filter("doc_id is not null").dropDuplicates(["doc_id"])).unionByName(without.filter("doc_id is null"))
+
+
 def deduplicated(docs: DataFrame, **kwargs) -> DataFrame:
-    """docs with one row of each class: that of its least doc_id; rows without doc_id stay only if their class has no other."""
-    classes = near_duplicates(docs, **kwargs)
-    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+    """one_of_each_class(docs) without the rows that have no doc_id, for callers that know documents by it alone."""
+    return one_of_each_class(docs, **kwargs).filter("doc_id is not null")
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
