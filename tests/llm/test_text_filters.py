@@ -205,3 +205,22 @@ def test_pii_tables(spark):
     r = out.filter("doc_id = 9").first()
     assert out.columns == docs.columns and (r.text, r.n_chars) == ("x <IP> y", 8) and out.count() == len(ODD) + 1
     assert pii.find_pii(docs.filter("false")).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [("please pay invoice 7 to DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]), ("order, part, example: DE89370400440532013000.", ["DE89370400440532013000"])]
+    + [(f"to {i} {w} x", [i]) for i in ("ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "NO93 8601 1117 947") for w in ("EUR", "BIC", "250", "SWIFT", "BANK", "ZZ12", "1")]
+    + [("ES91 2100 0418 4502 0005 1332 DE89 3704 0044 0532 0130 00", ["ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00"]), ("REFS AB12 3456 7890 AT61 1904 3002 3457 3201 EUR", ["AT61 1904 3002 3457 3201"]), ("DE89 3704 0044 0532 0130 01 EUR", []), ("ES9121000418450200051332Q", [])],
+)
+def test_ibans_among_words(text, found):
+    assert [text[a:b] for a, b, k, _ in pii.find_spans(text)[1] if k == "iban"] == found
+
+
+def test_time_of_ibans_is_linear():
+    import time
+
+    for text in ("AB12 " * 100_000, "AB12" * 100_000, "DE89 3704 0044 0532 0130 01 " * 20_000):
+        began = time.time()
+        pii.find_spans(text)
+        assert time.time() - began < 20

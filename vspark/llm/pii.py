@@ -39,6 +39,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Code points of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO EG GT HN HU LB NI PL SV", 29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?i:token|secret|api[_-]?key|password|passwd|pwd)[\x20\t]{0,4}[=:][\x20\t]{0,4}[\"']?([A-Za-z0-9+/_-]{16,512})")
 HAS = re.compile(r"[0-9@]")
@@ -63,6 +72,24 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Spans that mod-97 confirms. A candidate may take words after it: it is cut to its country's length, or else tried whole, and, of a country without a known length, at the ends of its shorter groups.
+
+    What follows a span, or the first group of a candidate without one, is looked at again. A candidate has at most 44 code points, so the time is linear.
+    """
+    spans, m = [], IBAN.search(text)
+    while m:
+        start, whole = m.span()
+        groups = [e for e in range(whole, start, -1) if e == whole or text[e] == " "]
+        known = IBAN_LENGTHS.get(text[start : start + 2])
+        tried = groups if known is None else [e for e in groups if e - start - text.count(" ", start, e) == known] + [whole]
+        end = next((e for e in tried if mod97(text[start:e])), None)
+        if end:
+            spans.append((start, end))
+        m = IBAN.search(text, end or start + 1)
+    return spans
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Spans of [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+ in time linear in the text: each @ looks back over its run of local characters, as far as the last match."""
     spans, end, at = [], 0, text.find("@")
@@ -101,17 +128,17 @@ def proposals(text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, whether a checksum confirms it) of the kinds beyond the base, and of base kinds in further forms."""
     found = []
     if HAS.search(text):
-        found += [(*m.span(), "iban", mod97(m[0])) for m in IBAN.finditer(text)]
+        found += [(a, b, "iban", True) for a, b in ibans(text)]
         found += [(*m.span(), "ssn", False) for m in SSN.finditer(text)]
     found += [(*m.span(1), "secret", any(c.isdigit() for c in m[1])) for m in SECRET.finditer(text)]
     return found
 
 
 def score(text: str, start: int, end: int, kind: str, checked: bool) -> float:
-    """PRIOR, plus CHECKED if a checksum confirms it, plus NEAR or FAR by the context words close by; cut to 0..1."""
+    """PRIOR, plus CHECKED if a checksum confirms it, plus NEAR or FAR by the context words close by; cut to 0..1. Words against it don't bring a confirmed IBAN below THRESHOLD."""
     around = text[max(0, start - WINDOW) : start] + " \0 " + text[end : end + WINDOW]
     value = PRIOR[kind] + CHECKED * checked + NEAR * bool(CONTEXT[kind].search(around)) + FAR * bool(AGAINST.search(around))
-    return min(1.0, max(0.0, value))
+    return min(1.0, max(THRESHOLD if kind == "iban" and checked else 0.0, value))
 
 
 def find_spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, float]]]:
@@ -120,7 +147,7 @@ def find_spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple
     base = base_spans(text)
     kept = [(a, b, k, score(text, a, b, k, k == "card")) for a, b, k in base]
     for a, b, k, checked in proposals(text):
-        if not (k == "iban" and not checked) and (s := score(text, a, b, k, checked)) >= THRESHOLD and not any(x <= a and b <= y for x, y, _ in base):
+        if (s := score(text, a, b, k, checked)) >= THRESHOLD and not any(x <= a and b <= y for x, y, _ in base):
             kept.append((a, b, k, s))
     return base, sorted(kept, key=lambda s: (s[0], KINDS.index(s[2])))
 
