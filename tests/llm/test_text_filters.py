@@ -224,3 +224,10 @@ def test_time_of_ibans_is_linear():
         began = time.time()
         pii.find_spans(text)
         assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("n", [16, 512, 513, 100_000])
+def test_secrets_of_any_length(n):
+    key = ("ab12" * n)[:n]
+    text = f"token = {key} end"
+    assert pii.redact(text, pii.find_spans(text)[1]) == "token = <SECRET> end"
