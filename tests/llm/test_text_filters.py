@@ -231,3 +231,23 @@ def test_secrets_of_any_length(n):
     key = ("ab12" * n)[:n]
     text = f"token = {key} end"
     assert pii.redact(text, pii.find_spans(text)[1]) == "token = <SECRET> end"
+
+
+def test_rules_of_other_languages(spark):
+    rng = random.Random(1)
+    stock = {"ru": ("и в не на я что он с как это по но они к у".split(), "ра но ст ов ен ка".split()), "zh": ("的 是 在 了 和 有 我 不 这 他".split(), "中 国 人 大 学 生".split())}
+
+    def text(lang):
+        common, parts = stock[lang]
+        return " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice(parts) for _ in range(rng.randint(2, 4))) for _ in range(120))
+
+    rows = [(i, prose(i), "en", "s") for i in range(20)] + [(100 + i, text("ru"), "ru", "s") for i in range(20)] + [(200 + i, text("zh"), "zh", "s") for i in range(20)]
+    rows += [(300, text("ru").replace(" ", " ### "), "ru", "s"), (301, prose(301).replace(" ", "### "), "en", "s"), (302, prose(302).upper().replace(" ", "!! "), None, "s"), (303, text("ru"), None, "s"), (304, " ".join(f"q{rng.random():.9f}"[2:].translate(str.maketrans("0123456789", "qwzxvkjpbg")) for _ in range(120)), "en", "s")]
+    docs = documents(spark, rows, extra=True)
+    references = QR.language_references(docs)
+    assert set(references) == {"en", "ru", "zh"} and set(stock["ru"][0]) < set(references["ru"][2])
+    kept = {r.doc_id: r.kept for r in QR.apply_rules(docs).collect()}
+    assert all(kept[i] for i in kept if i < 300 or i == 303) and not any(kept[i] for i in (300, 301, 302, 304))
+    only = {k: r for k, r in references.items() if k == "en"}
+    got = {r.doc_id: r.kept for r in QR.apply_rules(docs, only).collect()}
+    assert all(got[i] for i in range(300) if i in got) and not got[301]

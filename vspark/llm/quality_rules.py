@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,9 @@ MIN_COMMON_WORDS = 40
 #: Largest Jensen-Shannon distances (square root of the divergence in bits, 0 to 1) to the nearest reference.
 MAX_CHAR_DISTANCE = 0.185
 MAX_WORD_DISTANCE = 0.45
-# The most frequent function words of each language that has a reference.
+#: Common words of a language that COMMON does not have; they are counted in the table.
+OWN_WORDS = 32
+# The most frequent function words of some languages.
 COMMON = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split(),
     "en": "the of and to a in is it for that was on with as be this by are from at or an have not but they which you were his".split(),
@@ -79,12 +81,16 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEATED * n_words
 
 
+def folded_words(text: str | None) -> list[str]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).decode("utf-8", "replace").split()
+
+
 def histograms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Counts of bytes by character class (digits and white space left out), and of words by common word, 0 being all others."""
     data = (text or "").encode("utf-8", "surrogatepass")
     chars = np.bincount(_CLASS[np.frombuffer(data, np.uint8)], minlength=CLASSES).astype(float)
     chars[2:4] = 0
-    words = data.translate(_FOLD).decode("utf-8", "replace").split()
+    words = folded_words(text)
     return chars, np.bincount(np.fromiter((BINS.get(w, 0) for w in words), np.int64, len(words)), minlength=len(BINS) + 1).astype(float)
 
 
@@ -100,59 +106,131 @@ def js_distances(p: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.where(sums > 0, np.sqrt(np.clip(d, 0, 1)), 1.0)
 
 
-def language_references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Reference histograms by language, over all documents in a language of COMMON that do not fail the base rules.
+#: By language: shares of character classes, shares of common words (0 being all others), and these words, none if they are those of BINS.
+References = dict[str, tuple[np.ndarray, np.ndarray, tuple[str, ...]]]
 
-    Each document counts as one, by its shares; a character class gets the median share, which junk in less
-    than half of the documents hardly moves, a common word the mean share. What comes to the driver is a row
-    for each language: at most len(COMMON) rows of CLASSES + len(BINS) + 1 numbers.
-    """
-    size = CLASSES + len(BINS) + 1
+
+def _passes(text: str | None) -> bool:
+    n, _, _, _, repeated = base_features(text)
+    return not base_failed(n, repeated)
+
+
+def own_common_words(docs: DataFrame) -> dict[str, tuple[str, ...]]:
+    """The OWN_WORDS most frequent words of each language, counted over all documents that do not fail the base rules; ties: the first by name."""
+    schema = T.StructType([T.StructField("words", T.ArrayType(T.StringType()))])
+    words = with_computed(docs, ["text"], ["lang"], schema, lambda: lambda text: (folded_words(text) if _passes(text) else None,))
+    counts = words.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    rows = counts.withColumn("nth", nth).filter(F.col("nth") <= OWN_WORDS).select("lang", "word", "nth").collect()
+    found: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["lang"], r["nth"])):
+        found.setdefault(r["lang"], []).append(r["word"])
+    return {lang: tuple(ws) for lang, ws in found.items()}
+
+
+def _mean_shares(docs: DataFrame, size: int, counts: Callable[[str, str], tuple[np.ndarray, np.ndarray]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     schema = T.StructType([T.StructField("shares", T.ArrayType(T.DoubleType()))])
 
     def make() -> Callable:
-        def one(text: str | None) -> tuple:
-            n, _, _, _, repeated = base_features(text)
-            if base_failed(n, repeated):
+        def one(text: str | None, lang: str) -> tuple:
+            if not _passes(text):
                 return (None,)
-            chars, words = histograms(text)
+            chars, words = counts(text, lang)
             return ([*(chars / max(1, chars.sum())), *(words / max(1, words.sum()))],)
 
         return one
 
-    known = docs.filter(F.col("lang").isin(*COMMON))
-    shares = with_computed(known, ["text"], ["lang"], schema, make).filter("shares is not null")
+    shares = with_computed(docs, ["text", "lang"], ["lang"], schema, make).filter("shares is not null")
     sums = shares.groupBy("lang").agg(F.array(*[F.percentile_approx(F.col("shares")[i], 0.5, 1000) if i < CLASSES else F.avg(F.col("shares")[i]) for i in range(size)]).alias("sums")).collect()
     return {r["lang"]: (np.array(r["sums"][:CLASSES]), np.array(r["sums"][CLASSES:])) for r in sums}
 
 
+def language_references(docs: DataFrame) -> References:
+    """Reference histograms of every language of docs, over all its documents that do not fail the base rules.
+
+    Each document counts as one, by its shares; a character class gets the median share, which junk in less
+    than half of the documents hardly moves, a common word the mean share. The languages of COMMON share the bins of
+    its words; any other has bins of its own common words. What comes to the driver is a row of numbers
+    for each language, and OWN_WORDS words of each that COMMON does not have.
+    """
+    found = _mean_shares(docs.filter(F.col("lang").isin(*COMMON)), CLASSES + len(BINS) + 1, lambda text, lang: histograms(text))
+    references = {lang: (*r, ()) for lang, r in found.items()}
+    others = docs.filter(F.col("lang").isNotNull() & ~F.col("lang").isin(*COMMON))
+    if not others.select("lang").limit(1).count():
+        return references
+    own = own_common_words(others)
+    bins = {lang: {w: i + 1 for i, w in enumerate(ws)} for lang, ws in own.items()}
+
+    def counts(text: str, lang: str) -> tuple[np.ndarray, np.ndarray]:
+        words = folded_words(text)
+        return histograms(text)[0], np.bincount([bins.get(lang, {}).get(w, 0) for w in words], minlength=OWN_WORDS + 1).astype(float)
+
+    found = _mean_shares(others, CLASSES + OWN_WORDS + 1, counts)
+    return references | {lang: (*r, own.get(lang, ())) for lang, r in found.items()}
+
+
 RULES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     + [T.StructField("char_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType()), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())]
 )
 
 
-def judge(text: str | None, references: tuple[np.ndarray, np.ndarray]) -> tuple:
-    features = base_features(text)
-    failed = base_failed(features[0], features[4])
-    chars, words = histograms(text)
-    char_distance = float(js_distances(chars, references[0]).min(initial=1.0)) if len(references[0]) else 0.0
-    word_distance = float(js_distances(words, references[1]).min(initial=1.0)) if len(references[1]) else 0.0
-    far = features[1] >= MIN_CHARS and char_distance > MAX_CHAR_DISTANCE or features[0] >= MIN_COMMON_WORDS and word_distance > MAX_WORD_DISTANCE
-    return (*features, char_distance, word_distance, failed, not failed and not far)
-
-
-def apply_rules(docs: DataFrame, references: dict[str, tuple[np.ndarray, np.ndarray]] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+class Judge:
+    """References laid out for judging texts one by one."""
+
+    def __init__(self, references: References):
+        self.known = frozenset(references)
+        shared = [r for r in references.values() if not r[2]]
+        own = [r for r in references.values() if r[2]]
+        rows = lambda rs, k, n: np.array([r[k] for r in rs]).reshape(len(rs), n)
+        self.shared = rows(shared, 0, CLASSES), rows(shared, 1, len(BINS) + 1)
+        self.own = rows(own, 0, CLASSES), rows(own, 1, OWN_WORDS + 1)
+        self.places: dict[str, list[int]] = {}
+        for i, r in enumerate(own):
+            for k, w in enumerate(r[2]):
+                self.places.setdefault(w, []).append(i * (OWN_WORDS + 1) + k + 1)
+
+    def distances(self, text: str | None) -> list[tuple[float, float]]:
+        """Pairs of distances: the least of each kind to the languages of COMMON, then to each other language."""
+        chars, words = histograms(text)
+        pairs = []
+        if len(self.shared[0]):
+            pairs.append((float(js_distances(chars, self.shared[0]).min()), float(js_distances(words, self.shared[1]).min())))
+        if n := len(self.own[0]):
+            folded = folded_words(text)
+            table = np.bincount([at for w in folded for at in self.places.get(w, ())] or [0], minlength=n * (OWN_WORDS + 1)).reshape(n, -1).astype(float)
+            table[:, 0] = len(folded) - table[:, 1:].sum(axis=1)
+            by_chars = js_distances(chars, self.own[0])
+            pairs += [(float(c), float(js_distances(table[i], self.own[1][i : i + 1])[0])) for i, c in enumerate(by_chars)]
+        return pairs
+
+    def __call__(self, text: str | None, lang: str | None) -> tuple:
+        features = base_features(text)
+        failed = base_failed(features[0], features[4])
+        pairs = self.distances(text) if lang is None or lang in self.known else []
+
+        def far(pair: tuple[float, float]) -> bool:
+            return features[1] >= MIN_CHARS and pair[0] > MAX_CHAR_DISTANCE or features[0] >= MIN_COMMON_WORDS and pair[1] > MAX_WORD_DISTANCE
+
+        nearest = min(pairs, key=lambda p: (far(p), max(p[0] / MAX_CHAR_DISTANCE, p[1] / MAX_WORD_DISTANCE)), default=(0.0, 0.0))
+        return (*features, *nearest, failed, not failed and not (pairs and far(nearest)))
+
+
+def apply_rules(docs: DataFrame, references: References | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns with the base features, both distances, base_failed and kept.
 
     A document is kept if it passes the base rules and lies near some reference, by character classes and by
-    common words; texts shorter than a guard are not held against that distance. references: as from
-    language_references(docs), the default. Null or empty text: no words, so base_failed. A table without
-    rows or languages gives no reference, and then only the base rules count. Repeated rows: each for itself.
+    common words; texts shorter than a guard are not held against that distance. The languages of COMMON count as one
+    there, any other by itself: its distances must both be small. references: as from
+    language_references(docs), the default. Null or empty text: no words, so base_failed. A text of a language without a
+    reference is judged by the base rules alone (distances 0), one without a language by all references. A language of
+    few documents is its own measure. A table without rows or languages gives no reference, and then only the base
+    rules count. Repeated rows: each for itself.
     """
     references = language_references(docs) if references is None else references
-    both = tuple(np.array([r[k] for r in references.values()]).reshape(len(references), n) for k, n in ((0, CLASSES), (1, len(BINS) + 1)))
-    return with_computed(docs, ["text"], keep, RULES, lambda: lambda text: judge(text, both))
+    if "lang" not in docs.columns:
+        docs = docs.withColumn("lang", F.lit(None).cast("string"))
+    return with_computed(docs, ["text", "lang"], keep, RULES, lambda: Judge(references))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
