@@ -97,3 +97,64 @@ def test_table(spark):
     df = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in H.extract_text(df).collect()) == [(1, TEXT, len(TEXT)), (2, "", 0), (2, "", 0)]
     assert H.extract_text(df.filter("false")).collect() == []
+
+
+def all_stretches(scores):
+    """region() by trying every stretch whose beginnings all gain: the largest sum, then the first start, then the longest."""
+    gains = lambda i, j: all(sum(scores[i:k]) > 0 for k in range(i + 1, j))
+    sums = [(sum(scores[i:j]), -i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1) if gains(i, j)]
+    best = max([s for s in sums if s[0] > 0], default=None)
+    return (-best[1], best[2]) if best else (0, 0)
+
+
+def test_pages_against_all_stretches():
+    import random
+
+    rng = random.Random(3)
+    pieces = ["<p>one two three four", "<a>x</a>", "<div class=q1>", "</div>", "<ul><li><a>y z</a></ul>", "<article>", "</article>", "<span>s</span>", "<h1>title</h1>", "<nav>n n</nav>", "<div class='ad'>b b</div>", "text alone ", "<table><tr><td>cell<td>cell</table>", "<br>"]
+    texts = set()
+    for _ in range(400):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9)))
+        # Sums of scores that are multiples of 1/64 are exact in any order.
+        exact = lambda scores: [round(s * 64) / 64 for s in scores]
+        got = H.main_text(page, find=lambda s: H.region(exact(s)))
+        slow = H.main_text(page, find=lambda s: all_stretches(exact(s)))
+        assert got == slow, page
+        texts.add(got)
+    assert len(texts) > 50
+
+
+LINKS = "<div class='q1'><a>zz</a><a>zz yy</a><span>zz</span><a>zz</a></div>"
+LIST = "<ul class='q4'><li><a>zz yy</a></li><li><a>zz</a></li><li><a>zz</a></li></ul>"
+
+
+@pytest.mark.parametrize("around", [LINKS, LIST, LINKS + LIST, "<div><span>zz</span><label>zz</label></div>", "<table><tr><td><a>zz</a><td><a>zz</a></table>" + LINKS])
+@pytest.mark.parametrize("body", ["<div class='q2'><p>One two three four five six.<p>Seven eight nine ten.</div>", "<p>One two three four five six.</p><p>Seven eight nine ten.</p>", "<article><p>One two three four five six.<p>Seven eight nine ten.</article>"])
+def test_the_scan_decides_where_no_mark_does(around, body):
+    page = f"<body class='has-sidebar'>{around}{body}{around}</body>"
+    assert H.main_text(page) == "One two three four five six.\nSeven eight nine ten."
+    assert "zz" in H.main_text(page, find=lambda scores: (0, len(scores)))
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='legal-article'>{}</div>", "<div class='page-top'><div class='legal-article'>{}</div></div>", "<div class='no-sidebar menu-closed'>{}</div>", "<form id='aspnet'>{}</form>", "<div id='banner-page'><article>{}</article></div>"])
+def test_wrappers_are_no_boilerplate(wrapper):
+    noise = "<nav><a>b b</a></nav><div class='comments'><p>b b b b</p></div>"
+    assert H.main_text(f"<body>{wrapper.format(noise + ARTICLE + noise)}<footer>b b</footer>") == TEXT
+
+
+def test_short_ends_of_an_article_stay():
+    end = "<table><tr><td>a<td>b<tr><td>c<td>d</table><ul><li><a>e</a><li><a>f</a></ul>"
+    assert H.main_text(f"<article>{ARTICLE}<div class='ad'>b b b b b</div>{end}</article>{LINKS}") == TEXT + "\na\nb\nc\nd\ne\nf"
+    assert H.main_text(f"<p>One two three four five.</p><div class='ad'>{'b ' * 60}</div><p>Six seven eight nine ten eleven.</p>") == "One two three four five.\nSix seven eight nine ten eleven."
+
+
+@pytest.mark.parametrize(("page", "text"), [("<p>a < b and c <d is text</p>", "a < b and c <d is text"), ("<p>if x <y then", "if x <y then"), ("<p>a <b and more</p><p>end of it", "a <b and more\nend of it"), ("<p class='x' <b>one two three</p>", "one two three"), ("<p title=it's>Don't stop here</p>", "Don't stop here"), ("<foo>one two</foo> three", "one two three"), ("<p>one two<!-- no > no", "one two"), ("<p>one two</p ><!-- no", "one two")])
+def test_signs_that_are_no_tags(page, text):
+    assert H.main_text(page).split("\n") == text.split("\n") or H.main_text(page).replace("\n", " ") == text
+
+
+def test_time_is_linear_in_broken_tags():
+    for page in ("<d " * 100_000, "<d " * 100_000 + ">", "</ " * 100_000, "<! " * 100_000, "<a x='" * 100_000 + ">", "<d ='\"" * 50_000 + ">", "<!-- " * 100_000):
+        began = time.time()
+        H.main_text(page)
+        assert time.time() - began < 20

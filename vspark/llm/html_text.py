@@ -31,7 +31,11 @@ IMPLIED = {"p": "p", "li": "li", "dt": "d", "dd": "d", "tr": "tr", "td": "td", "
 #: Start tags that close an open paragraph.
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<([/!?]?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([/!?]?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
+#: Every other element of the standard; a start tag of none of these that runs into the next tag is no tag.
+KNOWN = INLINE | MATH | VOID | RAW | INTEGRATION | ENDS_SVG | CLOSES_P | frozenset("html caption colgroup datalist details dir figcaption figure frame frameset hgroup legend marquee noembed optgroup option search slot summary svg tbody td tfoot th thead tr xmp annotation annotation-xml".split())
+
+# A quote opens a value only behind =. A tag ends at > or in front of the next <.
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)(>|(?=<))|<[!?/][^>]*+>", re.S)
 # A quote that is not closed holds the rest.
 _ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s\"'>][^\s>]*+)))?+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -64,11 +68,16 @@ BODY = [
     "<p>c c c c c c</p><div><p>c c c c c c</p></div><h3>c c</h3><ol><li>c c c c</li></ol><dl><dt>c</dt><dd>c c c</dd></dl>{}<p>c c <em>c</em> c</p><section><h2>c c</h2><p>c c c c c</p></section>",
 ]
 
-#: Highest and lowest score of a word, and of a tag; between them they are learned. What lies within a region and scores
-#: below 0 by its own marks is left out anyway, so that it need not end the region.
-WORD_MOST, WORD_LEAST = 1.0, -0.05
-TAG_MOST, TAG_LEAST = -0.01, -0.1
+#: Highest score of a word, highest and lowest of a tag; between them they are learned.
+WORD_MOST = 1.0
+TAG_MOST, TAG_LEAST = -0.02, -2.0
+#: Score of a stretch of boilerplate by its own marks, whatever its length: what stands behind it must be worth more to be joined.
+HOLE = -1.0
 RIDGE = 0.01
+#: Least weight of an element's own marks by which it stands for content as a whole.
+CONTAINER = 1.0
+#: Elements that hold a whole page only by mistake; any other that holds over half of its words and its heading is a wrapper.
+NO_WRAPPER = frozenset("nav aside footer header menu dialog".split())
 
 
 def labelled_pages() -> Iterator[str]:
@@ -83,33 +92,42 @@ def labelled_pages() -> Iterator[str]:
 
 @dataclass
 class Open:
-    """An element that is open: its marks that no element above has, and the sum of the weights of these and of all marks above."""
+    """An element with its marks. weigh() fills in what it holds, and the sum of the weights of its marks and of all above."""
 
     tag: str
     above: Open | None = None
-    own: tuple = ()
-    total: float = 0.0
+    marks: tuple = ()
     hidden: bool = False
     #: Whether what comes next is part of a drawing.
     drawing: bool = False
+    #: Its runs: from the start tag's to the one before the end tag's.
+    first: int = 0
+    last: int = 0
+    words: int = 0
+    #: Whether it holds the heading or the element of an article.
+    leads: bool = False
+    #: Weight of its own marks, those that an element above has too not counted.
+    own: float = 0.0
+    total: float = 0.0
 
-    def marks(self) -> tuple:
-        """All marks, the outermost first. It takes the depth of the element; learning alone asks for it."""
+    def all_marks(self) -> tuple:
+        """Its marks and those above, each once, the outermost first. It takes the depth of the element; learning alone asks for it."""
         parts, at = [], self
         while at:
-            parts.append(at.own)
+            parts.append(at.marks)
             at = at.above
-        return tuple(m for own in reversed(parts) for m in own)
+        return tuple(dict.fromkeys(m for marks in reversed(parts) for m in marks))
 
 
 @dataclass
 class Run:
-    """Text between two tags, with the element around it; or a tag, where text is None."""
+    """Text between two tags with the element around it, or a tag, where text is None, with its element."""
 
     text: str | None
     tag: str = ""
     within: Open | None = None
     breaks: bool = False
+    words: int = 0
 
 
 def _attributes(attributes: str) -> dict[str, str]:
@@ -145,39 +163,54 @@ def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(marks))
 
 
-def parse(page: str, weight: Callable[[str], float] = lambda mark: 0.0) -> Iterator[Run]:
-    """Tags and texts of a page in order, with implied end tags; scripts, styles, comments and hidden elements are passed over, drawings (svg) too. The text of formulas (math, without its annotations, which no browser shows) and of xmp stays. Time is linear in the page: each element, at any depth, adds its own marks' weights to the sum of the one above."""
-    stack: list[Open] = [Open("")]
+def parse(page: str) -> tuple[list[Run], list[Open]]:
+    """Tags and texts of a page in order, and its elements, each after the one around it; end tags that may be left out are implied.
+
+    Scripts, styles, comments and hidden elements are passed over, drawings (svg) too. The text of formulas (math, without its
+    annotations, which no browser shows) and of xmp stays. A start tag of no known element that runs into another tag is text.
+    Time is linear in the page.
+    """
+    root = Open("")
+    stack, elements, runs = [root], [root], []
     count: Counter[str] = Counter()
-    seen: set[str] = set()
     hidden = 0
     endless: set[str] = set()
 
     def pop() -> None:
         nonlocal hidden
         gone = stack.pop()
+        gone.last = len(runs)
         count[gone.tag] -= 1
         hidden -= gone.hidden
-        seen.difference_update(gone.own)
 
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else end]
+    def add(text: str) -> None:
         if text and not hidden:
-            yield Run(text, within=stack[-1])
+            runs.append(Run(text, within=stack[-1], words=len(text.split())))
+
+    # Behind the last > there is no tag.
+    at, start, end = 0, 0, page.rfind(">") + 1
+    while start < end:
+        m = _TOKEN.search(page, start, end)
         if not m:
             break
-        at = m.end()
-        kind, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag or kind in ("!", "?"):
+        kind, tag, attributes = m[1], (m[2] or "").lower(), m[3]
+        if tag and m[4] != ">" and not (tag in KNOWN and (kind or not attributes.strip() or "=" in attributes)):
+            # Text such as: a <b and c <d.
+            start = m.start() + 1
+            continue
+        add(page[at : m.start()])
+        at = start = m.end()
+        if not tag:
+            if at == end and m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")):
+                at = len(page)
             continue
-        tag = tag.lower()
         breaks = tag not in INLINE and tag not in MATH
+        around = None
         if kind == "/":
             if count[tag] > 0:
                 while stack[-1].tag != tag:
                     pop()
+                around = stack[-1]
                 pop()
         else:
             if stack[-1].drawing and (tag in CLOSES_P or tag in ENDS_SVG):
@@ -199,31 +232,33 @@ def parse(page: str, weight: Callable[[str], float] = lambda mark: 0.0) -> Itera
             elif tag in RAW and not (drawing and tag in INTEGRATION):
                 close = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 if close:
-                    at = close.end()
+                    at = start = close.end()
                 elif tag in MARKUP or drawing:
                     endless.add(tag)
                 else:
-                    at = end
+                    at = start = len(page)
             elif tag == "xmp":
                 # Its content is text as it stands, so that main_text() must not read references in it.
                 close = re.compile(r"</xmp\s*>", re.I).search(page, at)
-                text = page[at : close.start() if close else end]
-                at = close.end() if close else end
+                text = page[at : close.start() if close else len(page)]
+                at = start = close.end() if close else len(page)
                 if not hidden and not _hides(attributes):
-                    yield Run(None, tag, breaks=breaks)
-                    yield Run(entities.escape(text, quote=False), within=stack[-1])
+                    runs.append(Run(None, tag, stack[-1], breaks))
+                    add(entities.escape(text, quote=False))
             elif tag not in VOID and not attributes.endswith("/"):
                 unseen = tag in ("svg", "annotation", "annotation-xml") or bool(attributes) and _hides(attributes)
                 marks = () if tag in INLINE and tag != "a" or tag in MATH else _marks(tag, attributes)
-                above = stack[-1]
-                # Each mark counts once, for the outermost element that has it.
-                new = tuple(x for x in marks if x not in seen)
-                seen.update(new)
-                stack.append(Open(tag, above, new, above.total + sum(map(weight, new)), unseen, tag == "svg" or drawing and tag not in INTEGRATION))
+                stack.append(Open(tag, stack[-1], marks, unseen, tag == "svg" or drawing and tag not in INTEGRATION, len(runs)))
+                elements.append(stack[-1])
                 count[tag] += 1
                 hidden += unseen
         if not hidden:
-            yield Run(None, tag, breaks=breaks)
+            runs.append(Run(None, tag, around or stack[-1], breaks))
+    rest, _, _ = page[at:].partition("<!--")
+    add(rest)
+    while stack:
+        pop()
+    return runs, elements
 
 
 @dataclass
@@ -247,7 +282,35 @@ class Weights:
         return got
 
     def word(self, within: Open) -> float:
-        return max(WORD_LEAST, min(WORD_MOST, self.bias + within.total))
+        """Score of a word; 0 is boilerplate."""
+        return max(0.0, min(WORD_MOST, self.bias + within.total))
+
+    def weigh(self, runs: list[Run], elements: list[Open]) -> None:
+        """Fill in what the elements hold and weigh.
+
+        Each mark counts once, for the outermost element that has it. An element that holds over half of the page's words and the
+        heading, or an element of an article, is a wrapper: names such as has-sidebar or page-top don't make it boilerplate.
+        """
+        for r in runs:
+            r.within.words += r.words
+        for e in reversed(elements):
+            e.leads |= e.tag == "h1" or e.tag in ("article", "main") and sum(map(self.mark, e.marks)) > 0
+            if e.above:
+                e.above.words += e.words
+                e.above.leads |= e.leads
+        half = elements[0].words / 2
+        stack: list[tuple[Open, tuple]] = []
+        seen: set[str] = set()
+        for e in elements:
+            while stack and stack[-1][0] is not e.above:
+                seen.difference_update(stack.pop()[1])
+            new = [(m, w) for m in e.marks if m not in seen for w in (self.mark(m),)]
+            if e.tag in ("html", "body") or e.leads and e.words > half and e.tag not in NO_WRAPPER:
+                new = [x for x in new if x[1] >= 0]
+            e.own = sum(w for _, w in new)
+            e.total = e.own + (e.above.total if e.above else 0.0)
+            stack.append((e, tuple(m for m, _ in new)))
+            seen.update(stack[-1][1])
 
 
 @lru_cache(maxsize=1)
@@ -257,16 +320,19 @@ def learned() -> Weights:
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
     for page in labelled_pages():
-        runs = list(parse(page))
-        last = ""
-        for i, run in enumerate(runs):
+        runs, _ = parse(page)
+        last, follows, after = "", "b", []
+        for run in reversed(runs):
+            words = (run.text or "").split()
+            follows = words[0] if words else follows
+            after.append(follows)
+        for run, then in zip(runs, reversed(after), strict=True):
             if run.text is not None:
                 words = run.text.split()
-                seen[run.within.marks(), "c" in words] += len(words)
+                seen[run.within.all_marks(), "c" in words] += len(words)
                 last = words[0] if words else last
             else:
-                follows = next((r.text.split()[0] for r in runs[i + 1 :] if r.text and r.text.split()), "b")
-                (inside if last == "c" and follows == "c" else outside)[run.tag] += 1
+                (inside if last == "c" and then == "c" else outside)[run.tag] += 1
     names = sorted({m for context, _ in seen for m in context})
     index = {m: i + 1 for i, m in enumerate(names)}
     x, y, n = np.zeros((len(seen), len(names) + 1)), np.zeros(len(seen)), np.zeros(len(seen))
@@ -281,31 +347,60 @@ def learned() -> Weights:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (n * (y - p)) - ridge * w)
         w += step * min(1.0, 4 / (np.linalg.norm(step) + 1e-12))
-    odds = {t: max(TAG_LEAST, min(TAG_MOST, float(np.log((inside[t] + 0.2) / (outside[t] + 0.2))) / 4)) for t in inside.keys() | outside.keys()}
+    odds = {t: max(TAG_LEAST, min(TAG_MOST, float(np.log((inside[t] + 0.2) / (outside[t] + 0.2))) / 2)) for t in inside.keys() | outside.keys()}
     return Weights(float(w[0]), dict(zip(names, map(float, w[1:]), strict=True)), odds)
 
 
 def region(scores: Sequence[float]) -> tuple[int, int]:
-    """Start and end of the contiguous stretch of the largest sum, by one scan; the longest of equal ones that start first, empty if no sum is positive."""
+    """Start and end of the contiguous stretch of the largest sum, by one scan; empty if no sum is positive. Of equal ones that begin with nothing they gain nothing by, the first, and of those of one start the longest."""
     best, start, end, total, at = 0.0, 0, 0, 0.0, 0
     for i, s in enumerate(scores):
         total += s
         if total <= 0:
             total, at = 0.0, i + 1
-        elif total >= best:
+        elif total > best or total == best and at == start:
             best, start, end = total, at, i + 1
     return start, end
 
 
-def main_text(page: str | None, weights: Weights | None = None) -> str:
-    """The blocks of the best region, one a line; within it, texts that score below 0 by their own marks are left out."""
+def tag_and_word_scores(runs: list[Run], weights: Weights) -> list[float]:
+    """Scores of the runs: words by the marks around them, tags by name; a stretch of boilerplate by its marks is one score of HOLE, wherever its tags and words end."""
+    scores, hole = [], False
+    for r in runs:
+        good = weights.word(r.within)
+        if good > 0:
+            hole = False
+            scores.append(r.words * good if r.text is not None else weights.tags.get(r.tag, TAG_MOST))
+        else:
+            scores.append(0.0 if hole else HOLE)
+            hole = True
+    return scores
+
+
+def grown(runs: list[Run], start: int, end: int) -> tuple[int, int]:
+    """The region, or the article around it, or else the innermost element with its heading whose own marks stand for content: its first and last lines belong to it, be they short, lists or tables."""
+    at = next((r.within for r in runs[start:end] if r.text is not None), None)
+    found = None
+    while at and at.tag not in ("", "body", "html"):
+        if at.first <= start and end <= at.last:
+            if at.tag in ("article", "main") and at.own > 0:
+                return at.first, at.last
+            if found is None and at.own >= CONTAINER and at.leads and at.tag not in INLINE:
+                found = at.first, at.last
+        at = at.above
+    return found or (start, end)
+
+
+def main_text(page: str | None, weights: Weights | None = None, find: Callable[[Sequence[float]], tuple[int, int]] | None = None) -> str:
+    """The blocks of the best region, one a line; boilerplate within it, by its own marks, is left out. find: region(), or another search of the best stretch."""
     if not page:
         return ""
     weights = weights or learned()
-    runs = list(parse(page, weights.mark))
+    runs, elements = parse(page)
+    weights.weigh(runs, elements)
     word = [weights.word(r.within) if r.text is not None else 0.0 for r in runs]
-    scores = [len(r.text.split()) * w if r.text is not None else weights.tags.get(r.tag, TAG_MOST) for r, w in zip(runs, word, strict=True)]
-    start, end = region(scores)
+    start, end = (find or region)(tag_and_word_scores(runs, weights))
+    start, end = grown(runs, start, end)
     blocks, block = [], []
 
     def flush() -> None:
@@ -332,8 +427,9 @@ def extract_text(pages: DataFrame, keep: Sequence[str] = ("page_id", "url")) ->
     """The `keep` columns with text and n_chars (code points) of every page.
 
     Null or empty html, and pages without a region of positive score: text ''. Broken markup is read as far as it goes:
-    unknown end tags are passed over, what is open at the end is closed. Pages of any length are read whole. Repeated
-    rows each by itself. No shuffle; what a task holds is one page.
+    unknown end tags are passed over, what is open at the end is closed. Pages of any length are read whole, in linear
+    time. Of regions of equal score the first counts. Repeated rows each by itself. Empty tables: no rows. No shuffle; what a
+    task holds is one Arrow batch and the runs of one page.
     """
 
     def make() -> Callable:
