@@ -251,3 +251,48 @@ def test_rules_of_other_languages(spark):
     only = {k: r for k, r in references.items() if k == "en"}
     got = {r.doc_id: r.kept for r in QR.apply_rules(docs, only).collect()}
     assert all(got[i] for i in range(300) if i in got) and not got[301]
+
+
+def slow_spans(text):
+    """All spans by the definitions, each proposal held against each base span."""
+    base = pii.base_spans(text)
+    kept = [(a, b, k) for a, b, k in base]
+    for m in re.finditer(r"(?i:token|secret|api[_-]?key|password|passwd|pwd)[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9+/_-]{16,})", text):
+        if pii.score(text, *m.span(1), "secret", any(c.isdigit() for c in m[1])) >= pii.THRESHOLD:
+            kept.append((*m.span(1), "secret"))
+    for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", text):
+        a, b, c = m[0].split("-")
+        if a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000" and pii.score(text, *m.span(), "ssn", False) >= pii.THRESHOLD:
+            kept.append((*m.span(), "ssn"))
+    for m in re.finditer(r"(?<![A-Za-z0-9])DE[0-9]{2}(?: ?[0-9]{4}){4} ?[0-9]{2}(?![A-Za-z0-9])", text):
+        digits = m[0].replace(" ", "")
+        if int(digits[4:] + "1314" + digits[2:4]) % 97 == 1:
+            kept.append((*m.span(), "iban"))
+    return sorted((s for s in kept if s in base or not any(a <= s[0] and s[1] <= b for a, b, _ in base)), key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def test_added_spans_against_the_definitions():
+    rng = random.Random(5)
+    pieces = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013001", "DE12 500", "123-45-6789", "social security 078-05-1120", "666-45-6789", "token = 0123456789abcdef", "password: abcdefghijklmnop", "api_key='a1" + "b" * 40 + "'", "token=" + "9" * 16, "a@b.co", "10.0.0.1", "4111111111111111", "+1 415 555 2671", "order", "ssn", "\n", "x", ", "]
+    seen = Counter()
+    for _ in range(500):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 8)))
+        got = [s[:3] for s in pii.find_spans(text)[1]]
+        assert got == slow_spans(text), text
+        seen.update(k for _, _, k in got)
+    assert set(seen) == set(pii.KINDS)
+
+
+def test_time_of_alternating_spans_is_linear():
+    import time
+
+    for text in ("a@b.co token = 0123456789abcdef " * 20_000, "10.0.0.1 123-45-6789 ssn " * 20_000):
+        began = time.time()
+        pii.find_spans(text)
+        assert time.time() - began < 20
+    assert pii.find_spans("") == ([], [])
+
+
+def test_pii_of_empty_tables(spark):
+    none = documents(spark, ODD, extra=True).filter("false")
+    assert pii.find_pii(none).collect() == [] and pii.redact_pii(none).collect() == []
