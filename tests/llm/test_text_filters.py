@@ -296,3 +296,56 @@ def test_time_of_alternating_spans_is_linear():
 def test_pii_of_empty_tables(spark):
     none = documents(spark, ODD, extra=True).filter("false")
     assert pii.find_pii(none).collect() == [] and pii.redact_pii(none).collect() == []
+
+
+def test_long_words_are_trained_on_and_scored_whole(monkeypatch):
+    table = L.Pieces(["▁", "a", "b", "ab", "▁a", "ba", "aba", "bababababababababa"])
+    rng = np.random.default_rng(4)
+    p = rng.random((len(table.pieces) + 2, 2))
+    p[table.none] = 0
+    p /= p.sum(axis=0)
+
+    def slow(codes):
+        """Forward sums by position in logarithms, without scales or blocks."""
+        word = "".join(map(chr, codes))
+        index = {x: i for i, x in enumerate(table.pieces)}
+        logs = np.full((len(word) + 1, 2), -np.inf)
+        logs[0] = 0
+        for i in range(1, len(word) + 1):
+            for j in range(max(0, i - table.longest), i):
+                k = index.get(word[j:i], table.missing if i - j == 1 else None)
+                if k is not None:
+                    logs[i] = np.logaddexp(logs[i], logs[j] + np.log(p[k]))
+        return logs[-1]
+
+    monkeypatch.setattr(L, "BLOCK", 50)
+    ws = ["".join(rng.choice(list("abx"), n)) for n in (1, 17, 49, 50, 51, 120, 333)]
+    for _, codes in L.by_length(ws):
+        expected = [slow(c) for c in codes]
+        assert L.log_probabilities(codes, table, p) == pytest.approx(np.array(expected)) == L.forward(table.lattice(codes), p)[1]
+    # One long run of words gives about what the words give by themselves, far below the smallest double.
+    long = "".join(rng.choice(["ab", "ba", "aba"], 3_000))
+    q = L.train([long], np.ones((1, 1)), table)
+    assert np.isfinite(q).all() and q.sum() == pytest.approx(1) and q[table.pieces.index("x") if "x" in table.pieces else table.missing, 0] < 1e-3
+    gain = [L.forward(table.lattice(codes), L.train([long], np.ones((1, 1)), table, r))[1][0, 0] for r in (0, 2, 4) for _, codes in L.by_length([long])]
+    assert gain[0] <= gain[1] <= gain[2] + 1e-6
+
+
+def test_many_languages_long_documents_and_all_pieces(spark):
+    pieces = L.read_pieces(PIECES)
+    assert max(map(len, pieces)) == 16
+    rng = random.Random(2)
+    tongues = {f"x{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    rows = [(100 * k + i, " ".join(rng.choice(ws) for _ in range(40)), g, "s") for k, (g, ws) in enumerate(tongues.items()) for i in range(4)]
+    rows += [(10_000 + i, "straßenbahnhaltestelle" * 1_500 + " ", "long", "s") for i in range(2)] + [(20_000, "123", "none", "s")]
+    model = L.fit_languages(documents(spark, rows, extra=True), PIECES)
+    assert model.languages == sorted([*tongues, "long", "none"]) and np.allclose(model.p.sum(axis=0), 1)
+    got = {r.doc_id: r.lang_pred for r in L.predict_languages(documents(spark, rows), model).collect()}
+    assert np.mean([got[i] == g for i, _, g, _ in rows[:-1]]) > 0.98 and got[20_000] == "und"
+
+
+def test_languages_of_empty_tables(spark):
+    none = documents(spark, ODD).filter("false")
+    model = L.fit_languages(none, PIECES)
+    assert model.languages == [] and L.predict_languages(none, model).collect() == []
+    assert {r.lang_pred for r in L.predict_languages(documents(spark, ODD), model).collect()} == {"und"}
