@@ -349,3 +349,97 @@ def test_languages_of_empty_tables(spark):
     model = L.fit_languages(none, PIECES)
     assert model.languages == [] and L.predict_languages(none, model).collect() == []
     assert {r.lang_pred for r in L.predict_languages(documents(spark, ODD), model).collect()} == {"und"}
+
+
+def test_kept_against_the_definition(spark):
+    """References and verdicts by plain counting."""
+    rng = random.Random(6)
+    other = "le la et les des un une que est pour qui dans par sur pas au plus".split()
+    french = lambda k: " ".join(rng.choice(other) if rng.random() < 0.4 else "".join(rng.choice(["eau", "oi", "ai", "ré", "ée"]) for _ in range(rng.randint(2, 4))) for _ in range(k))
+    gibberish = lambda: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(200))
+    rows = [(i, prose(i, rng.randint(10, 400)), "en", "s") for i in range(60)] + [(100 + i, french(rng.randint(10, 400)), "fr", "s") for i in range(40)]
+    rows += [(200, gibberish(), "en", "s"), (201, gibberish(), "fr", "s"), (202, french(300), "en", "s"), (203, prose(203, 300), "fr", "s"), (204, prose(204, 300), "de", "s"), (205, prose(205, 300), None, "s"), (206, gibberish(), None, "s")]
+    rows += [(207, " ".join(str(rng.random()) for _ in range(100)), "en", "s"), (208, prose(208, 100) + " 4111111111111111" * 3, "en", "s"), (209, prose(209).replace(" ", " #$ "), "en", "s"), (210, prose(210).upper(), "fr", "s")] + [(300 + k, *r[1:]) for k, r in enumerate(ODD)]
+    kinds = {"Ll": 0, "Lu": 1, "Lt": 1}
+
+    def chars(text):
+        import unicodedata
+
+        counts = [0] * QR.CLASSES
+        for c in text or "":
+            k = unicodedata.category(c)
+            if c not in " \t\n\x0b\x0c\r":
+                counts[5 if c in "#*$%&|<>!" else kinds.get(k, {"L": 2, "M": 2, "N": 3, "P": 4, "S": 5}.get(k[0], 6))] += 1
+        counts[3] = max(0, counts[3] - 0.2 * sum(counts))
+        return counts
+
+    def folded(text):
+        return re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", (text or "").lower())
+
+    def divergence(p, q):
+        if not sum(p):
+            return 1.0
+        p, total = [x / sum(p) for x in p], 0.0
+        for x, y in zip(p, q, strict=True):
+            m = (x + y) / 2
+            total += (x and x * np.log2(x / m)) + (y and y * np.log2(y / m))
+        return max(0.0, total / 2) ** 0.5
+
+    failed = {i: slow_features(t)[0] < 20 or 100 * slow_features(t)[4] > 30 * slow_features(t)[0] for i, t, *_ in rows if i is not None}
+    references = {}
+    for lang in {g for i, _, g, _ in rows if g and not failed[i]}:
+        texts = [t for i, t, g, _ in rows if g == lang and not failed[i]]
+        shares = [[round(1000 * c / max(1, sum(chars(t)))) for c in chars(t)] for t in texts]
+        count = Counter(w for t in texts for w in folded(t))
+        top = sorted(count, key=lambda w: (-count[w], w.encode()))[:32]
+        medians = [sorted(x)[(len(x) - 1) // 2] / 1000 for x in zip(*shares, strict=True)]
+        references[lang] = medians, top, [(count.total() - sum(count[w] for w in top)) / count.total()] + [count[w] / count.total() for w in top]
+
+    def verdict(text, lang):
+        n, size, _, _, repeated = slow_features(text)
+        if n < 20 or 100 * repeated > 30 * n:
+            return False
+        near = []
+        for medians, top, shares in [references[lang]] if lang in references else references.values() if lang is None else []:
+            count = Counter(folded(text))
+            own = [count[w] for w in top]
+            by_chars = sum(medians) and divergence(chars(text), [m / sum(medians) for m in medians])
+            by_words = divergence([count.total() - sum(own), *own], shares)
+            near.append(not (size >= 100 and by_chars > 0.185) and not (n >= 70 and by_words > 0.08 + 2.7 / n**0.5))
+        return any(near) if near else True
+
+    docs = documents(spark, rows, extra=True)
+    got = {r.doc_id: r.kept for r in QR.apply_rules(docs.repartition(5)).filter("doc_id is not null").collect()}
+    assert got == {i: verdict(t, g) for i, t, g, _ in rows if i is not None}
+    assert not any(got[i] for i in (200, 201, 202, 203, 206, 207, 209, 210)) and all(got[i] for i in (205, 208)) and sum(got.values()) > 80
+    again = {r.doc_id: r.kept for r in QR.apply_rules(docs.repartition(2, "text")).filter("doc_id is not null").collect()}
+    assert got == again
+
+
+def test_quality_of_empty_tables_and_repeated_ids(spark):
+    rows = [(i % 40, prose(i) if i % 2 else prose(i).replace(" ", " | "), "en", "s") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] * 3, "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows + rows)
+    model = QC.fit_quality(docs, labels)
+    got = QC.score_quality(docs, model).collect()
+    assert len(got) == 160 and np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
+    assert QC.fit_quality(docs.filter("false"), labels) is None and QC.fit_quality(docs, labels.filter("false")) is None
+    assert QC.score_quality(docs.filter("false"), model).collect() == []
+    texts = docs.selectExpr("concat('id', doc_id) AS doc_id", "text")
+    assert QC.fit_quality(texts, labels.selectExpr("concat('id', doc_id) AS doc_id", "quality")) is not None
+
+
+def test_pairwise_fit_against_plain_descent():
+    """The minimum of the pairs' logistic loss, found by gradient steps instead of Newton's."""
+    rng = np.random.default_rng(0)
+    good, bad = rng.normal(0.5, 1, (60, 3)), rng.normal(-0.5, 1, (50, 3))
+    model = QC.rank(good, bad, 0.4, pairs=500)
+    draw = np.random.default_rng(QC.SEED)
+    standard = lambda x: np.clip((x - model.mean) / model.spread, -8, 8)
+    d = standard(good)[draw.integers(0, 60, 500)] - standard(bad)[draw.integers(0, 50, 500)]
+    w = np.zeros(3)
+    for _ in range(20_000):
+        w += 0.1 * (d.T @ (1 / (1 + np.exp(d @ w))) / 500 - QC.RIDGE * w)
+    assert model.weights == pytest.approx(w, abs=1e-4)
+    below = np.concatenate([np.full(60, 0.6 / 60), np.full(50, 0.4 / 50)])[np.concatenate([model.raw(good), model.raw(bad)]) < model.cut].sum()
+    assert abs(below - 0.4) <= 0.4 / 50 + 0.6 / 60

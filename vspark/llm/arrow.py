@@ -12,11 +12,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import ship
 
 
-def with_computed(df: DataFrame, inputs: Sequence[str], keep: Sequence[str], added: T.StructType, make: Callable[[], Callable]) -> DataFrame:
+def with_computed(df: DataFrame, inputs: Sequence[str], keep: Sequence[str], added: T.StructType, make: Callable[[], Callable], by_batch: bool = False) -> DataFrame:
     """df's `keep` columns and then the columns of `added`.
 
     make() runs once a task and returns a function that gets one row's `inputs` as Python values and returns
-    the row's added values as a tuple. A kept column with the name of an added one gives way to it. Memory: one
+    the row's added values as a tuple; with by_batch, a function of lists of these values that returns a list of tuples. A kept column with the name of an added one gives way to it. Memory: one
     Arrow batch and one row's working set.
     """
     ship(df.sparkSession)
@@ -32,7 +32,7 @@ def with_computed(df: DataFrame, inputs: Sequence[str], keep: Sequence[str], add
         one = make()
         for batch in batches:
             columns = [batch.column(i) for i in range(n_in)]
-            rows = [one(*(c[i].as_py() for c in columns)) for i in range(batch.num_rows)]
+            rows = one(*(c.to_pylist() for c in columns)) if by_batch else [one(*(c[i].as_py() for c in columns)) for i in range(batch.num_rows)]
             made = [pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(added_arrow)]
             yield pa.RecordBatch.from_arrays([batch.column(n_in + i) for i in range(len(kept))] + made, names=kept + added_arrow.names)
 

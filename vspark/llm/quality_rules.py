@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import with_computed
+from .common import ship
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -18,34 +23,38 @@ MIN_WORDS = 20
 MAX_REPEATED = 30
 #: Fewer word characters or words than these: the distance is not looked at.
 MIN_CHARS = 100
-MIN_COMMON_WORDS = 40
-#: Largest Jensen-Shannon distances (square root of the divergence in bits, 0 to 1) to the nearest reference.
+MIN_COMMON_WORDS = 70
+#: Largest Jensen-Shannon distances (square root of the divergence in bits, 0 to 1) to the reference. A text of n words has by chance
+#: alone a distance of about 1.7 / sqrt(n) by its common words, so that the limit is BASE + BY_CHANCE / sqrt(n).
 MAX_CHAR_DISTANCE = 0.185
-MAX_WORD_DISTANCE = 0.45
-#: Common words of a language that COMMON does not have; they are counted in the table.
+MAX_WORD_DISTANCE_BASE, MAX_WORD_DISTANCE_BY_CHANCE = 0.08, 2.7
+#: Common words of a language: its most frequent ones, counted in the table.
 OWN_WORDS = 32
-# The most frequent function words of some languages.
-COMMON = {
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split(),
-    "en": "the of and to a in is it for that was on with as be this by are from at or an have not but they which you were his".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par sur pas au plus ce se avec il sont son ne cette aux ou".split(),
-}
-BINS = {w: i + 1 for i, w in enumerate(sorted({w for ws in COMMON.values() for w in ws}))}
-#: Classes of bytes: lower, upper, digit, white space, sentence marks, other ASCII, beyond ASCII, symbols.
-CLASSES = 8
-_CLASS = np.full(256, 6, np.uint8)
-_CLASS[:128] = 5
-_CLASS[[*b" \t\n\x0b\x0c\r"]] = 3
-_CLASS[[*b".,;:?'\"()-"]] = 4
-_CLASS[[*SYMBOLS, *b"!"]] = 7
-_CLASS[ord("0") : ord("9") + 1] = 2
-_CLASS[ord("A") : ord("Z") + 1] = 1
-_CLASS[ord("a") : ord("z") + 1] = 0
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not (97 <= c <= 122 or 48 <= c <= 57) else c for c in range(256))
+#: Digits count as far as they are more than this share of a text's characters: numbers in prose are no sign of its quality.
+FREE_DIGITS = 0.2
+#: Shares of character classes are counted in steps of 1 / STEPS.
+STEPS = 1000
+#: Entries of a task's table of counts; when it is full it is sent on, which changes no result.
+TABLE = 300_000
+#: Classes of code points: lower case, upper case, other letters and marks, numbers, punctuation, symbols, others. White space is none.
+CLASSES, DIGITS, WHITE_CLASS = 7, 3, 7
+_FOLD = bytes(32 if c < 128 and not (97 <= c <= 122 or 48 <= c <= 57) else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of every code point; symbols are also the ASCII signs that n_symbols counts, and !."""
+    first = {"L": 2, "M": 2, "N": DIGITS, "P": 4, "S": 5}
+    out = np.full(0x110000, 6, np.uint8)
+    for c in range(0x33480):
+        kind = unicodedata.category(chr(c))
+        out[c] = 0 if kind == "Ll" else 1 if kind in ("Lu", "Lt") else first.get(kind[0], 6)
+    out[[*SYMBOLS, ord("!")]] = 5
+    out[[ord(c) for c in WHITE]] = WHITE_CLASS
+    return out
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words that stand in windows of 8 words which occur twice or more in the text, the first occurrence included."""
     n = len(words) - WINDOW + 1
@@ -81,17 +90,21 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEATED * n_words
 
 
-def folded_words(text: str | None) -> list[str]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).decode("utf-8", "replace").split()
+def folded_words(text: str | None) -> list[bytes]:
+    """Runs of letters and digits in lower case, in UTF-8."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+
+def char_histogram(text: str | None) -> np.ndarray:
+    """Counts of code points by class; of digits, those beyond FREE_DIGITS of the text."""
+    codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    counts = np.bincount(_classes()[codes], minlength=CLASSES + 1)[:CLASSES].astype(float)
+    counts[DIGITS] = max(0.0, counts[DIGITS] - FREE_DIGITS * counts.sum())
+    return counts
 
 
-def histograms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of bytes by character class (digits and white space left out), and of words by common word, 0 being all others."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    chars = np.bincount(_CLASS[np.frombuffer(data, np.uint8)], minlength=CLASSES).astype(float)
-    chars[2:4] = 0
-    words = folded_words(text)
-    return chars, np.bincount(np.fromiter((BINS.get(w, 0) for w in words), np.int64, len(words)), minlength=len(BINS) + 1).astype(float)
+def word_limit(n_words: int) -> float:
+    return MAX_WORD_DISTANCE_BASE + MAX_WORD_DISTANCE_BY_CHANCE / max(1, n_words) ** 0.5
 
 
 def js_distances(p: np.ndarray, references: np.ndarray) -> np.ndarray:
@@ -106,67 +119,71 @@ def js_distances(p: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.where(sums > 0, np.sqrt(np.clip(d, 0, 1)), 1.0)
 
 
-#: By language: shares of character classes, shares of common words (0 being all others), and these words, none if they are those of BINS.
+#: By language: shares of character classes, shares of all other words and of its common words, and these words.
 References = dict[str, tuple[np.ndarray, np.ndarray, tuple[str, ...]]]
 
-
-def _passes(text: str | None) -> bool:
-    n, _, _, _, repeated = base_features(text)
-    return not base_failed(n, repeated)
-
-
-def own_common_words(docs: DataFrame) -> dict[str, tuple[str, ...]]:
-    """The OWN_WORDS most frequent words of each language, counted over all documents that do not fail the base rules; ties: the first by name."""
-    schema = T.StructType([T.StructField("words", T.ArrayType(T.StringType()))])
-    words = with_computed(docs, ["text"], ["lang"], schema, lambda: lambda text: (folded_words(text) if _passes(text) else None,))
-    counts = words.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    rows = counts.withColumn("nth", nth).filter(F.col("nth") <= OWN_WORDS).select("lang", "word", "nth").collect()
-    found: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["nth"])):
-        found.setdefault(r["lang"], []).append(r["word"])
-    return {lang: tuple(ws) for lang, ws in found.items()}
-
-
-def _mean_shares(docs: DataFrame, size: int, counts: Callable[[str, str], tuple[np.ndarray, np.ndarray]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    schema = T.StructType([T.StructField("shares", T.ArrayType(T.DoubleType()))])
-
-    def make() -> Callable:
-        def one(text: str | None, lang: str) -> tuple:
-            if not _passes(text):
-                return (None,)
-            chars, words = counts(text, lang)
-            return ([*(chars / max(1, chars.sum())), *(words / max(1, words.sum()))],)
-
-        return one
-
-    shares = with_computed(docs, ["text", "lang"], ["lang"], schema, make).filter("shares is not null")
-    sums = shares.groupBy("lang").agg(F.array(*[F.percentile_approx(F.col("shares")[i], 0.5, 1000) if i < CLASSES else F.avg(F.col("shares")[i]) for i in range(size)]).alias("sums")).collect()
-    return {r["lang"]: (np.array(r["sums"][:CLASSES]), np.array(r["sums"][CLASSES:])) for r in sums}
+#: Kinds of counts besides the classes: a word, and all words.
+WORD_KIND, TOTAL_KIND = -1, -2
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, kind, key, n) summed over the documents of a task that pass the base rules: words, all words, and documents by class and share."""
+    words: dict[str, Counter] = {}
+    shares: Counter = Counter()
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        rows = [(lang, WORD_KIND, w.decode("utf-8", "replace"), n) for lang, c in words.items() for w, n in c.items()]
+        rows += [(lang, TOTAL_KIND, "", sum(c.values())) for lang, c in words.items()]
+        rows += [(lang, k, str(share), n) for (lang, k, share), n in shares.items()]
+        words.clear()
+        shares.clear()
+        for i in range(0, len(rows), 20_000):
+            columns = list(zip(*rows[i : i + 20_000], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "kind", "key", "n"])
+
+    for batch in batches:
+        texts, langs = batch.column(0), batch.column(1).to_pylist()
+        for i, lang in enumerate(langs):
+            text = texts[i].as_py()
+            split = text.encode("utf-8", "surrogatepass").split()
+            if base_failed(len(split), repeat_words(split)):
+                continue
+            words.setdefault(lang, Counter()).update(folded_words(text))
+            chars = char_histogram(text)
+            for k, share in enumerate(np.rint(chars * (STEPS / max(1.0, chars.sum()))).astype(int).tolist()):
+                shares[lang, k, share] += 1
+        if sum(map(len, words.values())) > TABLE:
+            yield from sent()
+    yield from sent()
 
 
 def language_references(docs: DataFrame) -> References:
     """Reference histograms of every language of docs, over all its documents that do not fail the base rules.
 
-    Each document counts as one, by its shares; a character class gets the median share, which junk in less
-    than half of the documents hardly moves, a common word the mean share. The languages of COMMON share the bins of
-    its words; any other has bins of its own common words. What comes to the driver is a row of numbers
-    for each language, and OWN_WORDS words of each that COMMON does not have.
+    Character classes: the median of the documents' shares, which junk in less than half of the documents hardly moves. Common
+    words: the OWN_WORDS most frequent words, ties by the word, with their shares of all words. Counts are whole numbers, so
+    that the references don't depend on how rows are dealt. Each task sums up before the shuffle; what comes to the driver is at
+    most STEPS counts for each class and OWN_WORDS words of each language.
     """
-    found = _mean_shares(docs.filter(F.col("lang").isin(*COMMON)), CLASSES + len(BINS) + 1, lambda text, lang: histograms(text))
-    references = {lang: (*r, ()) for lang, r in found.items()}
-    others = docs.filter(F.col("lang").isNotNull() & ~F.col("lang").isin(*COMMON))
-    if not others.select("lang").limit(1).count():
-        return references
-    own = own_common_words(others)
-    bins = {lang: {w: i + 1 for i, w in enumerate(ws)} for lang, ws in own.items()}
-
-    def counts(text: str, lang: str) -> tuple[np.ndarray, np.ndarray]:
-        words = folded_words(text)
-        return histograms(text)[0], np.bincount([bins.get(lang, {}).get(w, 0) for w in words], minlength=OWN_WORDS + 1).astype(float)
-
-    found = _mean_shares(others, CLASSES + OWN_WORDS + 1, counts)
-    return references | {lang: (*r, own.get(lang, ())) for lang, r in found.items()}
+    ship(docs.sparkSession)
+    known = docs.filter("lang is not null and text is not null").select("text", "lang")
+    counts = known.mapInArrow(_counted, "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
+    rows = counts.withColumn("nth", nth).filter(F.col("nth") <= F.when(F.col("kind") == WORD_KIND, OWN_WORDS).otherwise(STEPS + 1)).filter(F.col("nth") <= STEPS + 1).collect()
+    found: dict[str, dict[int, list]] = {}
+    for r in sorted(rows, key=lambda r: (r["lang"], r["kind"], r["nth"])):
+        found.setdefault(r["lang"], {}).setdefault(r["kind"], []).append((r["key"], r["n"]))
+    references = {}
+    for lang, kinds in found.items():
+        chars = np.zeros(CLASSES)
+        for k in range(CLASSES):
+            bins = sorted((int(share), n) for share, n in kinds[k])
+            up_to = np.cumsum([n for _, n in bins])
+            chars[k] = bins[int(np.searchsorted(2 * up_to, up_to[-1]))][0] / STEPS
+        total, common = kinds[TOTAL_KIND][0][1], kinds.get(WORD_KIND, [])
+        own = [n for _, n in common]
+        references[lang] = (chars, np.array([total - sum(own), *own, *[0] * (OWN_WORDS - len(own))]) / max(1, total), tuple(w for w, _ in common))
+    return references
 
 
 RULES = T.StructType(
@@ -179,53 +196,52 @@ class Judge:
     """References laid out for judging texts one by one."""
 
     def __init__(self, references: References):
-        self.known = frozenset(references)
-        shared = [r for r in references.values() if not r[2]]
-        own = [r for r in references.values() if r[2]]
-        rows = lambda rs, k, n: np.array([r[k] for r in rs]).reshape(len(rs), n)
-        self.shared = rows(shared, 0, CLASSES), rows(shared, 1, len(BINS) + 1)
-        self.own = rows(own, 0, CLASSES), rows(own, 1, OWN_WORDS + 1)
-        self.places: dict[str, list[int]] = {}
-        for i, r in enumerate(own):
-            for k, w in enumerate(r[2]):
-                self.places.setdefault(w, []).append(i * (OWN_WORDS + 1) + k + 1)
-
-    def distances(self, text: str | None) -> list[tuple[float, float]]:
-        """Pairs of distances: the least of each kind to the languages of COMMON, then to each other language."""
-        chars, words = histograms(text)
-        pairs = []
-        if len(self.shared[0]):
-            pairs.append((float(js_distances(chars, self.shared[0]).min()), float(js_distances(words, self.shared[1]).min())))
-        if n := len(self.own[0]):
-            folded = folded_words(text)
-            table = np.bincount([at for w in folded for at in self.places.get(w, ())] or [0], minlength=n * (OWN_WORDS + 1)).reshape(n, -1).astype(float)
-            table[:, 0] = len(folded) - table[:, 1:].sum(axis=1)
-            by_chars = js_distances(chars, self.own[0])
-            pairs += [(float(c), float(js_distances(table[i], self.own[1][i : i + 1])[0])) for i, c in enumerate(by_chars)]
-        return pairs
+        self.places = {lang: i for i, lang in enumerate(references)}
+        stacked = lambda k, n: np.array([r[k] for r in references.values()]).reshape(len(references), n)
+        self.chars, self.words = stacked(0, CLASSES), stacked(1, OWN_WORDS + 1)
+        self.own = [{w.encode(): k + 1 for k, w in enumerate(r[2])} for r in references.values()]
+        self.any: dict[bytes, list[int]] = {}
+        for i, bins in enumerate(self.own):
+            for w, k in bins.items():
+                self.any.setdefault(w, []).append(i * (OWN_WORDS + 1) + k)
+
+    def distances(self, text: str | None, lang: str | None) -> list[tuple[float, float]]:
+        """Pairs of distances: to the text's own language, or if that is null to each."""
+        if not self.places or lang is not None and lang not in self.places:
+            return []
+        folded = folded_words(text)
+        if lang is None:
+            counts = np.bincount([at for w in folded for at in self.any.get(w, ())] or [0], minlength=self.words.size).reshape(self.words.shape).astype(float)
+            counts[:, 0] = len(folded) - counts[:, 1:].sum(axis=1)
+            by_words = [float(js_distances(counts[i], self.words[i : i + 1])[0]) for i in range(len(counts))]
+            return list(zip(js_distances(char_histogram(text), self.chars).tolist(), by_words, strict=True))
+        i = self.places[lang]
+        bins = self.own[i]
+        counts = np.bincount(np.fromiter((bins.get(w, 0) for w in folded), np.int64, len(folded)), minlength=OWN_WORDS + 1).astype(float)
+        return [(float(js_distances(char_histogram(text), self.chars[i : i + 1])[0]), float(js_distances(counts, self.words[i : i + 1])[0]))]
 
     def __call__(self, text: str | None, lang: str | None) -> tuple:
         features = base_features(text)
         failed = base_failed(features[0], features[4])
-        pairs = self.distances(text) if lang is None or lang in self.known else []
+        most = word_limit(features[0])
+        pairs = self.distances(text, lang)
 
         def far(pair: tuple[float, float]) -> bool:
-            return features[1] >= MIN_CHARS and pair[0] > MAX_CHAR_DISTANCE or features[0] >= MIN_COMMON_WORDS and pair[1] > MAX_WORD_DISTANCE
+            return features[1] >= MIN_CHARS and pair[0] > MAX_CHAR_DISTANCE or features[0] >= MIN_COMMON_WORDS and pair[1] > most
 
-        nearest = min(pairs, key=lambda p: (far(p), max(p[0] / MAX_CHAR_DISTANCE, p[1] / MAX_WORD_DISTANCE)), default=(0.0, 0.0))
+        nearest = min(pairs, key=lambda p: (far(p), max(p[0] / MAX_CHAR_DISTANCE, p[1] / most)), default=(0.0, 0.0))
         return (*features, *nearest, failed, not failed and not (pairs and far(nearest)))
 
 
 def apply_rules(docs: DataFrame, references: References | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns with the base features, both distances, base_failed and kept.
 
-    A document is kept if it passes the base rules and lies near some reference, by character classes and by
-    common words; texts shorter than a guard are not held against that distance. The languages of COMMON count as one
-    there, any other by itself: its distances must both be small. references: as from
+    A document is kept if it passes the base rules and lies near the reference of its own language, by character classes and by
+    common words; texts shorter than a guard are not held against that distance. references: as from
     language_references(docs), the default. Null or empty text: no words, so base_failed. A text of a language without a
-    reference is judged by the base rules alone (distances 0), one without a language by all references. A language of
-    few documents is its own measure. A table without rows or languages gives no reference, and then only the base
-    rules count. Repeated rows: each for itself.
+    reference is judged by the base rules alone (distances 0), one without a language must be near some reference. A language of
+    few documents is its own measure. Texts of any length are read whole. A table without rows or languages gives no
+    reference, and then only the base rules count. Repeated rows: each for itself. Empty tables: no rows.
     """
     references = language_references(docs) if references is None else references
     if "lang" not in docs.columns:
