@@ -113,3 +113,74 @@ def test_pipeline_keeps_documents_without_doc_id(spark, tmp_path):
 
     docs = documents(spark, [(1, words(1, 30), "en", "s"), (None, words(2, 30), "en", "s")])
     assert corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).count() == 2
+
+
+def test_text_doc_ids(spark):
+    rows = [("b", words(1, 60)), ("a", edited(words(1, 60), 1, 0.01)), ("c", words(2, 60)), (None, words(2, 60)), ("d", None), (None, None), ("", "x y")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = Counter((r.doc_id, r.class_id) for r in N.near_duplicates(docs).collect())
+    assert got == Counter([("b", "a"), ("a", "a"), ("c", "c"), (None, "c"), ("d", "d"), (None, None), ("", "")])
+    assert Counter(r.doc_id for r in N.one_of_each_class(docs).collect()) == Counter(["a", "c", "d", None, ""])
+    dated = docs.selectExpr("date_add(date'2020-01-01', length(text)) AS doc_id", "text")
+    assert N.near_duplicates(dated).count() == len(rows)
+
+
+@pytest.mark.parametrize("block", [2, 250])
+def test_chains_and_unlike_texts_in_large_buckets(spark, block):
+    """Texts that share two thirds with each other and no more, chains of neighbours at 0.8, and a group around one of them."""
+    base, rows = words(7, 200).split(), []
+    for k in range(30):
+        own = words(5000 + k, 60).split()
+        rows.append((k, " ".join(base[:140] + own)))
+    text = words(8, 150).split()
+    for k in range(25):
+        text = text[:]
+        text[(k * 6) % 150] = f"c{k}"
+        rows.append((100 + k, " ".join(text)))
+    rows += [(200 + k, edited(rows[3][1], 77 + k, 0.005)) for k in range(15)]
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(documents(spark, [(a, b, "en", "s") for a, b in rows]), block=block).collect()}
+    assert got == brute(rows)
+
+
+def test_leaders_leave_nothing_out(spark):
+    """Every link that full comparison of the buckets finds joins the same nodes as leaders and open parts do."""
+    rng = np.random.default_rng(9)
+    for size in (1, 2, 5, 40):
+        sets = []
+        for _ in range(size):
+            cells = np.unique(rng.integers(0, 40, 30).astype(np.uint64))
+            sets.append(cells)
+        pairs = list(N.linked(sets, None, 0.6))
+        slow = [(i, j) for i, j in itertools.combinations(range(size), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j]))]
+        join = lambda links, n=size: [min(x) for x in _parts(links, n)]
+        assert join(pairs) == join(slow)
+        assert all(N.similar(sets[i], sets[j], 0.6) == ((i, j) in slow) for i, j in itertools.combinations(range(size), 2))
+        names = [i % 3 for i in range(size)]
+        known = [(i, j) for i, j in itertools.combinations(range(size), 2) if names[i] == names[j]]
+        assert join(list(N.linked(sets, None, 0.6, names)) + known) == join(slow + known)
+
+
+def _parts(links, n):
+    at = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            at[a] = at[b] = min(at[a], at[b])
+    return [[k] for k in at]
+
+
+def test_recall_on_copies_with_edited_words(spark):
+    """Five words and 0.8: a copy with a share p of its words replaced keeps about (1 - p) ** 5 of its stretches, so that 0.8 is left up to some 2 %; all that reach 0.8 are found."""
+    rng = np.random.default_rng(3)
+    rows, planted = [], {}
+    for k in range(120):
+        text = words(3000 + k, int(rng.integers(80, 400)))
+        share = (0.01, 0.02, 0.03, 0.05)[k % 4]
+        copy = edited(text, 900 + k, share)
+        a, b = shingles(text), shingles(copy)
+        planted[k] = share, sum((a & b).values()) >= 0.8 * sum((a | b).values())
+        rows += [(2 * k, text, "en", "s"), (2 * k + 1, copy, "en", "s")]
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(documents(spark, rows)).collect()}
+    caught = {k: got[2 * k] == got[2 * k + 1] for k in planted}
+    assert caught == {k: near for k, (_, near) in planted.items()}
+    rate = lambda share: np.mean([caught[k] for k in planted if planted[k][0] == share])
+    assert rate(0.01) > 0.9 and rate(0.05) < 0.2

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +18,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Signature of BANDS * ROWS coordinates: two texts of similarity 0.8 share a band with probability 0.9993, of 0.85 with 0.99999.
 BANDS, ROWS = 24, 6
-#: Texts in a block of a bucket; a bucket of more is compared block by block, each pair of blocks by itself.
-BLOCK = 1_000
+#: Texts, and bytes of their stretches' hashes, in a block of a bucket as expected; a bucket of more is dealt by blocks.
+BLOCK = 250
+BLOCK_BYTES = 8 << 20
+#: Texts of a bucket that each of its texts is compared with first.
+LEADERS = 4
 #: Entries of a task's table of word hashes; when it is full it is emptied, which changes no result.
 CACHE = 100_000
 
@@ -113,9 +116,10 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _keys_of(text: str | None, hashes: _Hashes | None = None) -> list[int] | None:
+def _keys_of(text: str | None, hashes: _Hashes | None = None) -> tuple[list[int] | None, int]:
+    """Band keys, and the number of stretches."""
     elements, weights = shingles(text, hashes)
-    return band_keys(dart_signature(elements, weights)).tolist() if len(elements) else None
+    return band_keys(dart_signature(elements, weights)).tolist() if len(elements) else None, int(weights.sum())
 
 
 def _cells(text: str | None, hashes: _Hashes | None = None) -> bytes:
@@ -128,17 +132,30 @@ def _cells(text: str | None, hashes: _Hashes | None = None) -> bytes:
 
 def _per_task(f):
     hashes = _Hashes()
-    return lambda text: (f(text, hashes),)
+    return lambda text: f(text, hashes)
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float = SIMILARITY) -> Iterator[tuple[int, int]]:
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < similarity * len(b) - 1e-9:
+        return False
+    at = np.searchsorted(b, a)
+    shared = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float = SIMILARITY, joined: list | None = None) -> Iterator[tuple[int, int]]:
     """Links that join each set of texts of at least this weighted Jaccard similarity, as positions: among left, or between left and right.
 
-    Every text of the one side is held against all others at once, over an index of their elements; once all are joined the rest is known.
+    Every text of the one side is held against all others at once, over an index of their elements; once all are joined the rest is
+    known. joined: a name for each text; those of one name are joined already.
     """
     texts = left + (right or [])
     sizes = np.array([len(x) for x in texts])
-    parent = list(range(len(texts)))
+    first: dict = {}
+    parent = [first.setdefault(name, i) for i, name in enumerate(joined)] if joined else list(range(len(texts)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -146,11 +163,8 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: f
             i = parent[i]
         return i
 
-    parts = len(texts)
-    if parts == 2:
-        shared = len(np.intersect1d(texts[0], texts[1], assume_unique=True))
-        if shared >= similarity * (sizes.sum() - shared) - 1e-9:
-            yield 0, 1
+    parts = len(set(parent))
+    if parts < 2:
         return
     vocabulary, ids = np.unique(np.concatenate(texts), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -173,38 +187,62 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: f
             return
 
 
+def _batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([max(x) for x in links], pa.int64()), pa.array([min(x) for x in links], pa.int64())], names=["u", "v"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        columns = [b.column(i) for i in range(b.num_columns)]
+        for i in range(b.num_rows):
+            yield tuple(c[i].as_py() for c in columns)
+
+
+def _link_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each text with the first of its bucket's leaders that it is similar to. Rows (key, block, follows, node, cells) come sorted, leaders first; they alone are held."""
+    leaders: list[tuple[int, np.ndarray]] = []
+    at, out = None, []
+    for key, block, follows, node, cells in _rows(batches):
+        if (key, block) != at:
+            at, leaders = (key, block), []
+        own = np.frombuffer(cells, np.uint64)
+        met = next((x for x, other in leaders if similar(own, other)), None)
+        if met is not None:
+            out.append((node, met))
+        if not follows:
+            leaders.append((node, own))
+        if len(out) > 10_000:
+            yield _batch(out)
+            out = []
+    yield _batch(out)
+
+
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from rows that come sorted by (key, low, high); one group is held at a time, of two blocks at most."""
+    """Links from rows (key, low, high, mine, node, part, cells) that come sorted; one group is held at a time, of two blocks at most. Texts of one part are joined already."""
 
     def links(rows: list[tuple]) -> list[tuple[int, int]]:
         low, high = rows[0][1], rows[0][2]
         left = [r for r in rows if r[3] == low]
         right = None if low == high else [r for r in rows if r[3] == high]
-        if not left or right == [] or len(rows) < 2:
+        both = left + (right or [])
+        if not left or right == [] or len(both) < 2:
             return []
-        ids = [r[4] for r in left + (right or [])]
-        cells = lambda rs: [np.frombuffer(r[5], np.uint64) for r in rs]
-        return [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in linked(cells(left), None if right is None else cells(right))]
-
-    def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        cells = lambda rs: [np.frombuffer(r[6], np.uint64) for r in rs]
+        return [(both[i][4], both[j][4]) for i, j in linked(cells(left), None if right is None else cells(right), joined=[r[5] for r in both])]
 
     group, at, out = [], None, []
-    for b in batches:
-        columns = [b.column(i) for i in range(6)]
-        for i in range(b.num_rows):
-            row = tuple(c[i].as_py() for c in columns)
-            if row[:3] != at:
-                if group:
-                    out += links(group)
-                group, at = [], row[:3]
-            group.append(row)
+    for row in _rows(batches):
+        if row[:3] != at:
+            if group:
+                out += links(group)
+            group, at = [], row[:3]
+        group.append(row)
         if len(out) > 10_000:
-            yield batch(out)
+            yield _batch(out)
             out = []
     if group:
         out += links(group)
-    yield batch(out)
+    yield _batch(out)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,8 +274,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _hashed(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns of docs with the text's hashes h1 and h2, and with doc_id as no_id and id, which are never null."""
-    added = [F.xxhash64("text").alias("__h1"), F.xxhash64(F.lit(7), F.col("text")).alias("__h2"), F.col("doc_id").isNull().alias("__no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id")]
+    """The columns of docs with the text's hashes h1 and h2, and with doc_id as no_id and id, which are never null. doc_id: a number or text; of any other type its text."""
+    kind = docs.schema["doc_id"].dataType
+    own = F.col("doc_id") if isinstance(kind, (T.NumericType, T.StringType)) else F.col("doc_id").cast("string")
+    none = F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit("")
+    added = [F.xxhash64("text").alias("__h1"), F.xxhash64(F.lit(7), F.col("text")).alias("__h2"), F.col("doc_id").isNull().alias("__no_id"), F.coalesce(own, none).alias("__id")]
     return docs.select(*[f"`{c}`" for c in columns], *added)
 
 
@@ -245,6 +286,53 @@ def _hashed(docs: DataFrame, *columns: str) -> DataFrame:
 _KEY = ["__h1", "__h2", "__no_id", "__id"]
 
 
+def _blocks(n: str, size: str, block: int) -> Column:
+    """Blocks for n texts of `size` stretches."""
+    return F.greatest(F.ceil(F.col(n) / F.lit(float(block))), F.ceil(F.col(size) * 8 / F.lit(float(BLOCK_BYTES)))).cast("int")
+
+
+def _dealt(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), blocks).cast("int")
+
+
+def leader_links(members: DataFrame, cells: DataFrame, block: int) -> DataFrame:
+    """Links (u, v) of each node with a leader of the largest bucket it is in: comparisons are linear in the nodes.
+
+    members: key, node, n, size of the bucket. Leaders are the LEADERS least nodes of a bucket; each of its blocks has a copy of them.
+    """
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+    leaders = members.withColumn("nth", nth).filter(F.col("nth") <= LEADERS)
+    leaders = leaders.withColumn("block", F.explode(F.sequence(F.lit(0), _blocks("n", "size", block) - 1)))
+    chosen = members.groupBy("node").agg(F.max(F.struct("n", "size", "key")).alias("b")).select("b.key", "node", "b.n", "b.size")
+    chosen = chosen.select("key", _dealt(_blocks("n", "size", block)).alias("block"), F.lit(1).alias("follows"), "node")
+    rows = leaders.select("key", "block", F.lit(0).alias("follows"), "node").unionByName(chosen)
+    # A leader that chose its own bucket finds itself.
+    rows = rows.join(cells, "node").select("key", "block", "follows", "node", "cells")
+    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "follows", "node")
+    return rows.mapInArrow(_link_leaders, "u long, v long").filter("u <> v")
+
+
+def open_links(members: DataFrame, roots: DataFrame, cells: DataFrame, block: int) -> DataFrame:
+    """Links (u, v) between nodes of a bucket that roots (u, root) doesn't join: all of its texts, but those of its largest part are not held against each other.
+
+    The largest part and the rest of a bucket are dealt by blocks of their own; each pair of blocks is a group, but for those within the
+    largest part. So a bucket of one large part is linear in its texts; only texts that nothing joins are all held against each other.
+    """
+    parts = members.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("part", F.coalesce("root", "node"))
+    sizes = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n_part"), F.sum("own").alias("size_part"))
+    whole = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n_part", "part", "size_part")).alias("big"), F.sum("n_part").alias("n_all"), F.sum("size_part").alias("size_all"))
+    whole = whole.filter("parts > 1").select("key", F.col("big.part").alias("big"), F.col("big.n_part").alias("n_big"), F.col("big.size_part").alias("size_big"), (F.col("n_all") - F.col("big.n_part")).alias("n_rest"), (F.col("size_all") - F.col("big.size_part")).alias("size_rest"))
+    each = parts.select("key", "node", "part").join(whole, "key")
+    # Blocks of the largest part count up from 0, those of the rest down from -1.
+    bigs, rests = F.sequence(F.lit(0), _blocks("n_big", "size_big", block) - 1), F.sequence(-_blocks("n_rest", "size_rest", block), F.lit(-1))
+    inside = F.col("part") == F.col("big")
+    each = each.select("key", "node", "part", F.when(inside, _dealt(F.size(bigs))).otherwise(-1 - _dealt(F.size(rests))).alias("mine"), F.explode(F.when(inside, rests).otherwise(F.concat(rests, bigs))).alias("other"))
+    rows = each.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "part")
+    rows = rows.join(cells, "node").select("key", "low", "high", "mine", "node", "part", "cells")
+    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    return rows.mapInArrow(_link_groups, "u long, v long")
+
+
 def text_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """__h1, __h2, representative, class_id of every distinct text but null, and `first`: whether it is the class's text of the least doc_id.
 
@@ -253,26 +341,20 @@ def text_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     ship(docs.sparkSession)
     named = _hashed(docs.filter("text is not null"), "text")
-    keyed = with_computed(named, ["text"], _KEY, T.StructType([T.StructField("keys", T.ArrayType(T.LongType()))]), lambda: _per_task(_keys_of))
-    found = keyed.groupBy("__h1", "__h2").agg(F.min(F.struct("__no_id", "__id", "keys")).alias("f"))
+    keyed = with_computed(named, ["text"], _KEY, T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("own", T.LongType())]), lambda: _per_task(_keys_of))
+    found = keyed.groupBy("__h1", "__h2").agg(F.min(F.struct("__no_id", "__id", "keys", "own")).alias("f"))
     # The hashes stay with the representative's id for the last join; texts are not read again for it.
-    found = cut(found.select("__h1", "__h2", "f.__no_id", "f.__id", "f.keys", F.monotonically_increasing_id().alias("node")))
-    banded = found.select(F.explode("keys").alias("key"), "node")
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"))
-    single = buckets.filter("n > 1").groupBy("n", "lo", "hi", "all").agg(F.min("key").alias("key"))
-    members = cut(banded.join(single.select("key", "n"), "key"))
-    blocks = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node")
-    wanted = members.select("node").distinct()
+    found = cut(found.select("__h1", "__h2", "f.__no_id", "f.__id", "f.keys", "f.own", F.monotonically_increasing_id().alias("node")))
+    banded = found.select(F.explode("keys").alias("key"), "node", "own")
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"))
+    single = buckets.filter("n > 1").groupBy("n", "size", "lo", "hi", "all").agg(F.min("key").alias("key"))
+    members = cut(banded.join(single.select("key", "n", "size"), "key"))
     # One row of each text is compared, one with the representative's id.
-    representatives = found.select(*_KEY, "node").join(wanted, "node", "left_semi")
+    representatives = found.select(*_KEY, "node").join(members.select("node").distinct(), "node", "left_semi")
     compared = named.join(representatives, _KEY).dropDuplicates(_KEY)
-    cells = with_computed(compared, ["text"], ["node"], T.StructType([T.StructField("cells", T.BinaryType())]), lambda: _per_task(_cells))
-    grouped = pairs.join(cells, "node").select("key", "low", "high", "mine", "node", "cells")
-    grouped = grouped.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    links = grouped.mapInArrow(_link_groups, "u long, v long")
+    cells = cut(with_computed(compared, ["text"], ["node"], T.StructType([T.StructField("cells", T.BinaryType())]), lambda: _per_task(lambda text, hashes: (_cells(text, hashes),))))
+    links = cut(leader_links(members, cells, block))
+    links = links.unionByName(open_links(members, components(links), cells, block))
     roots = components(links)
     tied = roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
     ids = tied.join(found.select(F.col("node").alias("u"), F.struct("__no_id", "__id", "__h1", "__h2").alias("order")), "u")
@@ -290,17 +372,19 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     Classes are the connected components of the links between texts whose stretches of five words have a weighted Jaccard
     similarity of 0.8 or more. Equal texts are one text from the start: the signatures go through a minimum by text
     hash, so that groups of copies of any size never meet in a task. Texts that share a band are compared exactly,
-    over all their stretches; a bucket of many texts is cut into blocks whose pairs are groups of their own, so that
-    no task holds a bucket, and none is cut short. Buckets of the same members are compared once.
+    over all their stretches: first each text with a few leaders of its largest bucket, then in every bucket the texts that
+    are not joined by that. Buckets are dealt by blocks, by number and bytes of texts, so that no task holds a bucket, and none
+    is cut short. Buckets of the same members are compared once.
 
-    Null text: a class of its own (class_id its doc_id). Texts without a word: equal ones are one class, nothing
-    else is. Null doc_id: compared like any other; representative and class_id are null where no row of the equal texts,
+    doc_id: a number or text; of any other type its text is returned. Null text: a class of its own (class_id its doc_id). Texts
+    without a word: equal ones are one class, nothing else is. Texts of any length are read whole. Null doc_id: compared like any other; representative and class_id are null where no row of the equal texts,
     or of the class, has one. Several texts of one doc_id: each by itself. Repeated rows: equal texts. Empty
     tables: no rows. Other columns are not read.
     """
     classes = text_classes(docs, block).drop("first")
     with_text = _hashed(docs.filter("text is not null"), "doc_id").join(classes, ["__h1", "__h2"]).select("doc_id", "representative", "class_id")
-    without = docs.filter("text is null").select("doc_id", F.col("doc_id").alias("representative"), F.col("doc_id").alias("class_id"))
+    own = F.col("doc_id").cast(classes.schema["representative"].dataType)
+    without = docs.filter("text is null").select("doc_id", own.alias("representative"), own.alias("class_id"))
     return with_text.unionByName(without)
 
 
@@ -310,7 +394,8 @@ def one_of_each_class(docs: DataFrame, **kwargs) -> DataFrame:
     Null text: a class by doc_id; each row with neither text nor doc_id stays.
     """
     firsts = text_classes(docs, **kwargs).filter("first")
-    firsts = firsts.select("__h1", "__h2", F.col("representative").isNull().alias("__no_id"), F.coalesce("representative", F.lit(0)).alias("__id"))
+    kind = firsts.schema["representative"].dataType
+    firsts = firsts.select("__h1", "__h2", F.col("representative").isNull().alias("__no_id"), F.coalesce("representative", F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit("")).alias("__id"))
     rows = _hashed(docs.filter("text is not null"), *docs.columns).join(firsts, _KEY, "left_semi").dropDuplicates(_KEY)
     without = docs.filter("text is null")
     columns = [f"`{c}`" for c in docs.columns]
