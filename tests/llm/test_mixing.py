@@ -63,3 +63,41 @@ def test_odd_rows(spark):
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
     assert mixing.mix_sources(documents(spark, ODD).filter("false")).collect() == []
     assert mixing.mix_sources(documents(spark, [(1, "", "en", "a")])).collect()[0].taken == 0
+
+
+def test_columns_keep_their_values(spark):
+    from collections import Counter
+
+    rows = [(i, f"w{i} x", "en", "a") for i in range(40)] + [(None, f"n{i} x", "en", "b") for i in range(20)] + [(7, "other text", "en", "b")] * 3
+    docs = documents(spark, rows)
+    names = ["__copy", "__n", "__nth", "__id", "__rows", "__copies", "row", "id", "h", "n", "part", "times", "copies", "taken_id", "nth", "again", "a.b", "k", "of"]
+    wide = docs.selectExpr("*", *[f"concat('{k}', text) AS `{n}`" for k, n in enumerate(names)], "map('k', doc_id) AS m")
+    out = mixing.mixed_documents(wide)
+    assert out.columns == wide.columns
+    got = out.collect()
+    assert len(got) == sum(r.copies for r in mixing.mix_sources(docs).collect())
+    for r in got:
+        assert all(r[n] == f"{k}{r.text}" for k, n in enumerate(names)) and r.m == {"k": r.doc_id}
+    count = Counter((r.doc_id, r.text) for r in got)
+    assert max(count.values()) <= 2 * 3 and Counter((r.doc_id, r.text) for r in mixing.mixed_documents(wide.repartition(5)).collect()) == count
+    assert len([1 for i, _ in count if i is None]) >= 10
+    assert mixing.mixed_documents(wide.filter("false")).collect() == []
+
+
+def test_rows_without_doc_id_stand_first_in_their_bucket(spark):
+    """As the SQL orders them, so that no other document's rank depends on how they are split."""
+    import hashlib
+    import math
+
+    rows = [(None, f"n{i}", "en", "s") for i in range(50)] + [(i, "w", "en", "s") for i in range(200)]
+    got = mixing.mix_sources(documents(spark, rows)).collect()
+    bucket = lambda d: int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:3], 16)
+    u = (int(hashlib.md5((mixing.SEED + "s").encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+    rate = got[0].target / got[0].source_size
+    mine = sorted([(bucket(i), i is not None, i or 0) for i, *_ in rows])
+    expected = {}
+    for k, (_, known, i) in enumerate(mine, 1):
+        copies = math.floor(u + rate * k) - math.floor(u + rate * (k - 1))
+        expected.setdefault(i if known else None, []).append(copies)
+    for i, copies in expected.items():
+        assert sorted(r.copies for r in got if r.doc_id == i) == sorted(copies)

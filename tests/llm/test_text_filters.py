@@ -443,3 +443,24 @@ def test_pairwise_fit_against_plain_descent():
     assert model.weights == pytest.approx(w, abs=1e-4)
     below = np.concatenate([np.full(60, 0.6 / 60), np.full(50, 0.4 / 50)])[np.concatenate([model.raw(good), model.raw(bad)]) < model.cut].sum()
     assert abs(below - 0.4) <= 0.4 / 50 + 0.6 / 60
+
+
+def test_next_texts_by_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(FP, "ROWS_A_PART", 3)
+    names = sorted(f"d{i}\"x" for i in range(30))
+    docs = spark.createDataFrame([(n, f"t{n}") for n in names] + [(None, "last")], "doc_id string, text string")
+    got = {r.doc_id: r.next_text for r in FP.with_next_text(docs.repartition(4)).collect()}
+    follows = [*names, None]
+    assert got == {n: "last" if follows[k + 1] is None else f"t{follows[k + 1]}" for k, n in enumerate(names)} | {None: f"t{names[0]}"}
+    assert FP.with_next_text(docs.filter("false")).collect() == []
+
+
+def test_likenesses_against_the_sketches_definition(spark):
+    """near_edited and near_next are the likeness of fingerprints that are made one by one."""
+    rows = [(i, words(i, 30 + i) if i % 3 else words(i - i % 2, 40), "en", "s") for i in range(12)]
+    got = {r.doc_id: r for r in FP.edited_fingerprints(documents(spark, rows)).collect()}
+    for i, t, *_ in rows:
+        after = rows[(i + 1) % 12][1]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert got[i].near_edited == FP.likeness(FP.lanes(t), FP.lanes(edited)) and got[i].near_next == FP.likeness(FP.lanes(t), FP.lanes(after))
+        assert got[i].near_edited > 0.5 and np.array_equal(FP.unpack(got[i].edited_fingerprint), FP.lanes(edited))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import with_computed
+from .common import doc_key
 
 #: Lanes of 32 bits, summed modulo 2 ** 32: hashed as a whole for equality, and from stretches of code points for likeness.
 EXACT, LIKE = 32, 256
@@ -106,14 +108,18 @@ def with_next_text(docs: DataFrame) -> DataFrame:
 
     Rows are dealt into ranges of doc_id that begin at ids of the table, of about ROWS_A_PART rows; the first row of
     a range is also sent to the range before as its last, so that each range finds its successors by itself:
-    one shuffle of the texts. What comes to the driver is the first id of each range, MAX_PARTS at most.
+    one shuffle of the texts. What comes to the driver is the first id of each range, MAX_PARTS at most. doc_id: a number or
+    text; other types go by their text. Rows of one doc_id, or without one, are one range, which a window sorts and spills.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id").filter("doc_id is not null")
+    own, none = doc_key(docs)
+    rows = docs.select("doc_id", own.alias("__own"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select(own.alias("__own")).filter("__own is not null")
     parts = max(1, min(MAX_PARTS, -(-ids.count() // ROWS_A_PART)))
-    ranged = ids.repartitionByRange(parts, "doc_id").withColumn("__part", F.spark_partition_id())
-    starts = sorted(r["start"] for r in ranged.groupBy("__part").agg(F.min("doc_id").alias("start")).collect()) or [0]
-    table, own, n = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>"), F.col("doc_id"), len(starts)
+    ranged = ids.repartitionByRange(parts, "__own").withColumn("__part", F.spark_partition_id())
+    starts = sorted(r["start"] for r in ranged.groupBy("__part").agg(F.min("__own").alias("start")).collect())
+    starts = starts or docs.sparkSession.range(1).select(none).first()[:1]
+    table, n = F.from_json(F.lit(json.dumps(list(starts), default=str)), T.ArrayType(ids.schema["__own"].dataType)), len(starts)
+    own = F.col("__own")
     # How many ranges begin at or before the row's id, by halving.
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
     begun = F.aggregate(steps, F.lit(0), lambda low, s: F.when((low + s <= n) & (F.get(table, low + s - 1) <= own), low + s).otherwise(low))
@@ -121,8 +127,8 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__at", at)
     first = F.get(table, F.col("__at")) == own
     before = F.when(F.col("__at") > 0, F.col("__at") - 1).otherwise(n - 1)
-    dealt = rows.select("doc_id", "text", F.posexplode(F.when(first, F.array("__at", before)).otherwise(F.array("__at"))).alias("__copy", "__range"))
-    order = Window.partitionBy("__range").orderBy(F.col("__copy"), F.col("doc_id").asc_nulls_last(), F.col("text"))
+    dealt = rows.select("doc_id", "__own", "text", F.posexplode(F.when(first, F.array("__at", before)).otherwise(F.array("__at"))).alias("__copy", "__range"))
+    order = Window.partitionBy("__range").orderBy(F.col("__copy"), own.asc_nulls_last(), F.col("text"))
     dealt = dealt.withColumn("next_text", F.lead("text").over(order)).filter("__copy = 0")
     return dealt.select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
 
@@ -135,7 +141,7 @@ FINGERPRINTS = T.StructType(
 
 
 def fingerprint_texts(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns with fingerprint. Null text: as empty, the fingerprint of one empty paragraph. Equal texts, and equal multisets of lines, have equal fingerprints; repeated rows each by itself. No shuffle."""
+    """The `keep` columns with fingerprint. Null text: as empty, the fingerprint of one empty paragraph. Equal texts, and equal multisets of lines, have equal fingerprints; repeated rows each by itself. Texts of any length are read whole. Empty tables: no rows. No shuffle."""
     return with_computed(docs, ["text"], keep, T.StructType([T.StructField("fingerprint", T.StringType())]), lambda: lambda text: (pack(lanes(text)),))
 
 
@@ -143,7 +149,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Per document the fingerprints of its text and of its edited text, whose last floor(n_chars / 4) code points are the first as many of the next document.
 
     near_edited and near_next are likenesses taken from fingerprints alone. Null text: as empty. A table of one row: the next
-    document is the row itself. Empty tables: no rows. Columns other than doc_id and text are not read.
+    document is the row itself. Repeated and missing doc_ids: as in with_next_text(). Texts of any length are read whole. Empty
+    tables: no rows. Columns other than doc_id and text are not read.
     """
 
     def make() -> Callable:

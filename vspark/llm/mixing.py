@@ -15,6 +15,8 @@ MAX_REPEAT = 2
 SEED = "mix-1:"
 #: Hexadecimal digits of the sub-bucket that splits documents of one source and size: 16 ** 3 buckets.
 BUCKET_DIGITS = 3
+#: Parts that rows without doc_id, or of one doc_id, are split into by their texts.
+PARTS = 4096
 
 
 def source_targets(
@@ -64,32 +66,35 @@ def mix_sources(
     docs: doc_id, text, source; other columns are not read. Returns doc_id, source, size, source_size, target,
     copies, taken (copies * size). The rank is a prefix sum in three steps, so no task holds a source:
     counts by size before it (rows: distinct sizes of a source), counts by sub-bucket of one size (at most
-    4,096 rows), row numbers within a sub-bucket (which hashes of doc_id split).
+    4,096 rows), row numbers within a sub-bucket (which hashes of doc_id split; rows without doc_id, the first of their
+    sub-bucket, are split by hashes of their texts).
 
-    Null text: size 0. Null source: a source of its own, the last. Repeated rows: each is a document; where
-    doc_ids tie, sizes tie too or the order by size decides. Empty tables: no rows. Sources without a word: target 0.
+    Null text: size 0. Texts of any length are counted whole. Null source: a source of its own, the last. Repeated rows: each
+    is a document; where doc_ids tie, sizes tie too or the order by size decides. Empty tables: no rows. Sources without a
+    word: target 0.
     """
     sized = cut(
         docs.select(
             "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
             hex_bits(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "", BUCKET_DIGITS).cast("int").alias("bucket"),
+            F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int")).otherwise(PARTS).alias("part"),
         )
     )
     targets = source_targets(sized, weights, total_share, max_repeat)
     # A null source joins like any other under (is null, name).
     key = [F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key")]
-    counts = sized.groupBy(*key, "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = sized.groupBy(*key, "size", "bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     levels = counts.groupBy("no_source", "source_key", "size").agg(F.sum("n").alias("n"))
     by_size = Window.partitionBy("no_source", "source_key").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     levels = levels.select("no_source", "source_key", "size", F.coalesce(F.sum("n").over(by_size), F.lit(0)).alias("smaller"))
-    by_bucket = Window.partitionBy("no_source", "source_key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("no_source", "source_key", "size", "bucket", F.coalesce(F.sum("n").over(by_bucket), F.lit(0)).alias("earlier"))
+    by_bucket = Window.partitionBy("no_source", "source_key", "size").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("no_source", "source_key", "size", "bucket", "part", F.coalesce(F.sum("n").over(by_bucket), F.lit(0)).alias("earlier"))
     offsets = offsets.join(levels, ["no_source", "source_key", "size"])
     targets = targets.select(*key, "source_size", "target")
     offsets = offsets.join(targets, ["no_source", "source_key"])
-    inside = Window.partitionBy("no_source", "source_key", "size", "bucket").orderBy("doc_id")
-    rows = sized.select("doc_id", "source", *key, "size", "bucket").withColumn("nth", F.row_number().over(inside))
-    rows = rows.join(offsets, ["no_source", "source_key", "size", "bucket"])
+    inside = Window.partitionBy("no_source", "source_key", "size", "bucket", "part").orderBy("doc_id")
+    rows = sized.select("doc_id", "source", *key, "size", "bucket", "part").withColumn("nth", F.row_number().over(inside))
+    rows = rows.join(offsets, ["no_source", "source_key", "size", "bucket", "part"])
     rank = F.col("smaller") + F.col("earlier") + F.col("nth")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = (hex_bits(F.coalesce("source", F.lit("")), seed, 8) + F.lit(0.5)) / F.lit(float(2**32))
@@ -101,22 +106,25 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
     """docs with every row as often as the mix takes it; same columns, repeats are equal rows. Other arguments as in mix_sources.
 
-    doc_id must identify rows here up to equal rows: of several rows with one doc_id each is taken as often as that id is on average.
+    doc_id must identify rows here up to equal rows: of several rows with one doc_id each is taken as often as that id is on
+    average, those of the least hashes of their texts once less or more. So are rows without doc_id. Rows travel as one struct,
+    whatever their columns are named; null, empty and long texts and empty tables: as in mix_sources.
     """
-    taken = mix_sources(docs, **kwargs).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    taken = taken.filter(F.col("__copies") > 0).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
-    nth = Window.partitionBy("__id").orderBy("__id")
-    share = F.floor(F.col("__copies") * F.col("__nth") / F.col("__rows")) - F.floor(F.col("__copies") * (F.col("__nth") - 1) / F.col("__rows"))
-    single = joined.filter(F.col("__rows") == 1).withColumn("__n", F.col("__copies"))
-    several = joined.filter(F.col("__rows") > 1).withColumn("__nth", F.row_number().over(nth)).withColumn("__n", share).drop("__nth")
-    both = single.unionByName(several)
-    return _expanded(both, docs.columns)
-
-
-def _expanded(rows: DataFrame, columns: list[str]) -> DataFrame:
-    rows = rows.filter(F.col("__n") > 0)
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    taken = mix_sources(docs, **kwargs).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
+    taken = taken.filter("copies > 0").withColumnRenamed("doc_id", "taken_id")
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(taken, F.col("id").eqNullSafe(F.col("taken_id"))).drop("taken_id")
+    single = rows.filter("n = 1").select("row", F.col("copies").alias("times"))
+    several = rows.filter("n > 1").withColumn("part", F.pmod("h", F.lit(PARTS)))
+    before = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = several.groupBy("id", "part").agg(F.count(F.lit(1)).alias("k"))
+    parts = parts.select(F.col("id").alias("part_id"), F.col("part").alias("of"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("earlier"))
+    several = several.join(parts, F.col("id").eqNullSafe(F.col("part_id")) & (F.col("part") == F.col("of")))
+    nth = F.col("earlier") + F.row_number().over(Window.partitionBy("id", "part").orderBy("h"))
+    share = F.floor(F.col("copies") * F.col("nth") / F.col("n")) - F.floor(F.col("copies") * (F.col("nth") - 1) / F.col("n"))
+    several = several.withColumn("nth", nth).select("row", share.alias("times"))
+    both = single.unionByName(several).filter("times > 0")
+    return both.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("again")).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

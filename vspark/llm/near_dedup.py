@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import with_computed
-from .common import cut, ship
+from .common import cut, doc_key, ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -275,9 +275,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _hashed(docs: DataFrame, *columns: str) -> DataFrame:
     """The columns of docs with the text's hashes h1 and h2, and with doc_id as no_id and id, which are never null. doc_id: a number or text; of any other type its text."""
-    kind = docs.schema["doc_id"].dataType
-    own = F.col("doc_id") if isinstance(kind, (T.NumericType, T.StringType)) else F.col("doc_id").cast("string")
-    none = F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit("")
+    own, none = doc_key(docs)
     added = [F.xxhash64("text").alias("__h1"), F.xxhash64(F.lit(7), F.col("text")).alias("__h2"), F.col("doc_id").isNull().alias("__no_id"), F.coalesce(own, none).alias("__id")]
     return docs.select(*[f"`{c}`" for c in columns], *added)
 
@@ -394,8 +392,7 @@ def one_of_each_class(docs: DataFrame, **kwargs) -> DataFrame:
     Null text: a class by doc_id; each row with neither text nor doc_id stays.
     """
     firsts = text_classes(docs, **kwargs).filter("first")
-    kind = firsts.schema["representative"].dataType
-    firsts = firsts.select("__h1", "__h2", F.col("representative").isNull().alias("__no_id"), F.coalesce("representative", F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit("")).alias("__id"))
+    firsts = firsts.select("__h1", "__h2", F.col("representative").isNull().alias("__no_id"), F.coalesce(F.col("representative"), doc_key(docs)[1]).alias("__id"))
     rows = _hashed(docs.filter("text is not null"), *docs.columns).join(firsts, _KEY, "left_semi").dropDuplicates(_KEY)
     without = docs.filter("text is null")
     columns = [f"`{c}`" for c in docs.columns]
