@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vspark.llm import bpe, language, mixing, near_dedup, pii
-from vspark.llm.common import shared_dir
+from vspark.llm.common import remove, shared_dir
 
 #: A document is rejected if its language can't be told, or is told with less than this score.
 LANGUAGE_SCORE = 0.4
@@ -61,12 +61,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between them a table in the shared folder cuts the lineage."""
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; between them a table in the shared folder cuts the lineage.
+
+    A table goes when the next one is written; the last one stays, as the result reads it when it is used, and goes with the folder.
+    """
+    folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(path := f"{folder}/{k}-{name}")
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
