@@ -69,9 +69,9 @@ def test_two_families(spark, tmp_path):
     families = files.parse_pedigree(TRIO_PED + "2\tproband\t0\t0\t1\t2\n")
     out = commands.annotate_models(rows, header.samples, families).select("pos", info_value(F.col("info"), "GeneticModels"), info_value(F.col("info"), "Compounds"), info_value(F.col("info"), "ModelScore")).collect()
     got = {r[0]: r for r in out}
-    assert got[879537][1] == "1:AR_hom,2:AR_hom" and got[879911][1] == "1:AR_comp|AR_comp_dn,2:AD|AR_comp"
-    assert got[879676][1] == "2:AR_hom" and got[879911][3] == "1:55,2:60"
-    assert [x.split(":")[0] for x in got[879911][2].split(",")] == ["1", "2"]
+    assert got[1200][1] == "1:AR_hom,2:AR_hom" and got[2400][1] == "1:AR_comp|AR_comp_dn,2:AD|AR_comp"
+    assert got[4000][1] == "2:AR_hom" and got[2400][3] == "1:55,2:60"
+    assert [x.split(":")[0] for x in got[2400][2].split(",")] == ["1", "2"]
 
 
 def test_sample_fields_and_json(spark):

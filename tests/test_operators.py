@@ -75,10 +75,10 @@ def test_bed(spark):
 
 
 def test_frequencies(spark):
-    records = [(0, "1", 879537, 879537, ["C"], ["0.000199681"], ["0.001"]), (1, "1", 100, 103, ["A", "G"], ["0.1", "0.2"], None), (2, "1", 101, 101, ["G"], ["0.3"], ["0.4"])]
+    records = [(0, "1", 5150, 5150, ["C"], ["0.00031"], ["0.001"]), (1, "1", 100, 103, ["A", "G"], ["0.1", "0.2"], None), (2, "1", 101, 101, ["G"], ["0.3"], ["0.4"])]
     r = spark.createDataFrame(records, "ord long, chrom string, pos long, end long, alts array<string>, af array<string>, max_af array<string>")
-    v = spark.createDataFrame([(0, "1", 879537, "C"), (1, "1", 879537, "T"), (2, "1", 102, "G"), (3, "1", 101, "G"), (4, "1", 100, "A,G"), (5, "1", 104, "G")], "idx long, chrom_key string, pos long, alt string")
-    assert {x.idx: (x.af, x.max_af) for x in annotation.frequencies(v, r).collect()} == {0: ("0.000199681", "0.001"), 2: ("0.2", None), 3: ("0.3", "0.4")}
+    v = spark.createDataFrame([(0, "1", 5150, "C"), (1, "1", 5150, "T"), (2, "1", 102, "G"), (3, "1", 101, "G"), (4, "1", 100, "A,G"), (5, "1", 104, "G")], "idx long, chrom_key string, pos long, alt string")
+    assert {x.idx: (x.af, x.max_af) for x in annotation.frequencies(v, r).collect()} == {0: ("0.00031", "0.001"), 2: ("0.2", None), 3: ("0.3", "0.4")}
 
 
 def test_lookups(spark):
@@ -175,6 +175,20 @@ def test_header():
         Header().lines()
 
 
+def test_header_entries():
+    from vspark.sources.header import entry_fields
+
+    assert entry_fields('<ID=A,Number=1, Type=Float,Description="a, \\"b\\" = c",Source=x>') == {"ID": "A", "Number": "1", "Type": "Float", "Description": 'a, \\"b\\" = c', "Source": "x"}
+    assert entry_fields("<ID=A,b>") is None and entry_fields('<ID=A,Description="open>') is None and entry_fields('<ID="A"b>') is None and entry_fields("ID=A") is None
+    h = Header()
+    for line in ('##FILTER=<ID=q,Description="">', "##contig=<ID=1,length=5>", '##ALT=<ID=DEL,Description="x">', '##INFO=<Description="d",Type=Flag,Number=0,ID=F>', '##FORMAT=<ID=GT,Number=1,Type=String,Description="g">'):
+        h.add_line(line)
+    assert all(h.has(k, i) for k, i in (("FILTER", "q"), ("contig", "1"), ("ALT", "DEL"), ("INFO", "F"), ("FORMAT", "GT")))
+    for line in ('##INFO=<ID=B,Number=x,Type=Float,Description="d">', '##INFO=<ID=B,Number=1,Type=Text,Description="d">', '##FORMAT=<ID=B,Number=0,Type=Flag,Description="d">', "##FILTER=<ID=q>", "##contig=<length=5>", '##ALT=<ID=,Description="x">', "##INFO=B"):
+        with pytest.raises(HeaderError):
+            h.add_line(line)
+
+
 def test_pedigrees():
     f = files.parse_pedigree("1\tkid\tdad\tmum\t1\t2\n1\tdad\t0\t0\t1\t1\n1\tmum\t0\t0\t2\t1\n2 a 0 0 2 1\n")
     assert [x.name for x in f] == ["1", "2"] and files.affected_families(f) == f[:1]

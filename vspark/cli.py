@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--thousand-g")
     c.add_argument("--spidex")
     c.add_argument("--cadd-file", action="append", default=[])
-    c.add_argument("--cosmic")
+    c.add_argument("--cosmic", help="known sites; their header line is written")
+    c.add_argument("--cosmic-entries", action="store_true", help="mark the variants at known sites too")
     c = command("models")
     c.add_argument("-f", "--family-file", required=True)
+    c.add_argument("-t", "--family-type", choices=files.FORMS, default="ped", help="form of the family file")
     c.add_argument("--vep", action="store_true")
     c.add_argument("--phased", action="store_true")
     c.add_argument("--strict", action="store_true")
@@ -87,11 +90,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[Header, DataFram
         }
         keys = {"regions": ("Annotation",), "exac": ("EXACAF", "EXAC_MAX_AF"), "thousand_g": ("1000GAF", "1000G_MAX_AF"), "splice": ("SPIDEX",), "deleteriousness": ("CADD", "CADD_raw"), "known": ("COSMIC",)}
         header.add_info(*[ANNOTATION_ENTRIES[k] for t, ks in keys.items() if tables[t] is not None for k in ks])
+        if not args.cosmic_entries:
+            tables["known"] = None
         rows = commands.annotate(rows, **tables)
     elif args.command == "models":
         if header.has("INFO", "GeneticModels"):
             raise ValueError("the variants already have genetic models")
-        families = files.affected_families(files.read_pedigree(spark, args.family_file))
+        families = files.affected_families(files.read_pedigree(spark, args.family_file, args.family_type))
         files.check_members(families, header.samples)
         genes = files.read_names(spark, args.reduced_penetrance) if args.reduced_penetrance else ()
         rows = commands.annotate_models(rows, header.samples, families, args.keyword, csq, args.phased, args.strict, reduced_penetrance=genes)
@@ -118,7 +123,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[Header, DataFram
             order = [chromosome_priority(F.col("chrom")).try_cast("int"), F.col("pos"), F.col("idx")]
         else:
             order = [family_score(F.col("info"), None, args.rank_score_type).desc(), line_text(rows).desc()]
-    header.add_software(f"vspark_{args.command}", VERSION, " ".join(f"{k}={v}" for k, v in sorted(vars(args).items()) if v not in (None, False, [])))
+    header.add_software(f"vspark_{args.command}", VERSION, " ".join(f"{k}={v}" for k, v in sorted(vars(args).items()) if v not in (None, False, [])), datetime.now().isoformat(timespec="minutes"))
     return header, rows, order
 
 

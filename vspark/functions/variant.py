@@ -25,13 +25,14 @@ def _entries(info: Column) -> Column:
 
 def info_value(info: Column, key: str) -> Column:
     """The value of an INFO key; the last entry counts if there are several. Null if it is missing, a flag, or not one key and one value."""
-    last = F.try_element_at(F.filter(_entries(info), lambda e: e[0] == key), F.lit(-1))
-    return F.when(F.size(last) == 2, last[1])
+    # The first part takes all it can, so that the last entry of the key is found.
+    last = F.regexp_extract(info, rf"(?s)^(?:.*;)?\Q{key}\E(=[^;]*)?(?:;|$)", 1)
+    return F.when(last.rlike("(?s)^=[^=]*$"), F.substring(last, 2, 1 << 30))
 
 
 def has_info(info: Column, key: str) -> Column:
     """Whether INFO has the key, with a value or as a flag."""
-    return F.coalesce(F.exists(_entries(info), lambda e: e[0] == key), F.lit(False))
+    return F.coalesce(info.rlike(rf"(?:^|;)\Q{key}\E(?:[=;]|$)"), F.lit(False))
 
 
 def info_map(info: Column) -> Column:
@@ -147,7 +148,7 @@ def family_score(info: Column, family: str | None = None, key: str = "RankScore"
     if key not in ("RankScore", "RankScoreNormalized"):
         raise ValueError(f"unknown rank score: {key}")
     # Of repeated INFO keys the first counts here.
-    first = F.try_element_at(F.filter(_entries(info), lambda e: (e[0] == key) & (F.size(e) == 2)), F.lit(1))[1]
+    first = F.regexp_extract(info, rf"(?:^|;)\Q{key}\E=([^;=]*)(?=;|$)", 1)
     parts = F.transform(F.split(F.when(first != "", first), ","), lambda e: F.split(e, ":"))
     if family is not None:
         parts = F.filter(parts, lambda e: e[0] == family)
