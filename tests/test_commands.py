@@ -136,3 +136,51 @@ def test_cli_chain(spark, tmp_path, capsys):
     assert command("config", rules)[1].out.startswith("four plugins")
     assert command("sort", "-p", v, "-o", tmp_path / "out")[0] == 0
     assert spark.read.text(str(tmp_path / "out")).count() == 15
+
+
+def test_chain_over_folders(spark, tmp_path):
+    """Each command reads what the one before it wrote, header and order of rows included."""
+    v, ped, rules = tmp_path / "v.vcf", tmp_path / "f.ped", tmp_path / "rules.ini"
+    text = variant_file(TRIO, TRIO_SAMPLES)
+    v.write_text(text)
+    ped.write_text("#Note\tFamilyID\tSampleID\tFather\tMother\tSex\tPhenotype\n" + "".join("x\t" + x + "\n" for x in TRIO_PED.splitlines()[1:]))
+    rules.write_text(four_plugins())
+    steps = [("models", "m", ["-f", ped, "-t", "alt"]), ("score", "s", ["-c", rules, "--skip-plugin-check"]), ("compound", "c", []), ("sort", "r", []), ("sort", "p", ["-p"])]
+    at = v
+    for command, out, options in steps:
+        assert cli.main([command, str(at), "-o", str(tmp_path / out), *map(str, options)], spark) == 0
+        at = tmp_path / out
+    header, rows = files.read_variants(spark, str(at))
+    assert header.samples == TRIO_SAMPLES and all(header.has("INFO", k) for k in ("MQ", "GeneticModels", "RankScore", "CompoundsNormalized")) and header.has("contig", "1")
+    got = rows.orderBy("idx").collect()
+    assert [(r.chrom, r.pos) for r in got] == [(c, int(p)) for c, p, *_ in (x.split() for x in TRIO.strip().splitlines())]
+    ranked = files.read_variants(spark, str(tmp_path / "r"))[1].orderBy("idx").select(info_value(F.col("info"), "RankScore")).collect()
+    ranks = [float(r[0].split(":")[1]) for r in ranked]
+    assert ranks == sorted(ranks, reverse=True)
+
+
+def test_order_of_lines_over_parts(spark, tmp_path):
+    for name, size in (("part-00000-x.txt", 3), ("part-00001-x.txt", 400_000), ("part-00010-x.txt", 5), ("part-00002-x.txt", 7)):
+        (tmp_path / name).write_text("".join(f"{name[5:10]} {k}\n" for k in range(size)))
+    rows = files.lines(spark, str(tmp_path)).orderBy("idx").collect()
+    keys = [tuple(map(int, r.value.split())) for r in rows]
+    assert keys == sorted(keys) and len({r.idx for r in rows}) == len(rows) == 400_015
+
+
+def test_long_header_and_lookups(spark, tmp_path, monkeypatch):
+    import io
+
+    head = "##fileformat=VCFv4.2\n" + "".join(f"##contig=<ID=c{k}>\n" for k in range(2_500)) + "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "kid"]) + "\n"
+    (tmp_path / "v.vcf").write_text(head + "c1\t5\t.\tA\tC\t.\tPASS\tX=1\tGT\t0/1\n")
+    header, rows = files.read_variants(spark, str(tmp_path / "v.vcf"))
+    assert header.samples == ["kid"] and header.has("contig", "c2499") and rows.count() == 1
+    monkeypatch.setattr("sys.stdin", io.StringIO((tmp_path / "v.vcf").read_text()))
+    header, rows = files.read_variants(spark, "-")
+    assert header.samples == ["kid"] and rows.select("pos").first()[0] == 5
+    table = spark.createDataFrame([("1", 5, "a"), ("1", 9, "b"), ("chr2", 5, "c")], "chrom string, pos long, x string")
+    files.write_lookup(table, str(tmp_path / "lookup"))
+    found = lambda *a: sorted(r.x for r in files.read_lookup(spark, str(tmp_path / "lookup"), *a).collect())
+    assert found() == ["a", "b", "c"] and found("chr1") == ["a", "b"] and found("2") == ["c"] and found("1", 5, 9) == ["a"]
+    for form, text in (("alt", "1 kid 0 0 1 2"), ("mip", "#FamilyID\tSex\n1\t1"), ("x", "")):
+        with pytest.raises(ValueError):
+            files.parse_pedigree(text, form)

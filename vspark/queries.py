@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from .functions import variant as V
 from .operators import annotation, batches, compounds, filters, models, scores, sorting, summaries
 from .operators.models import Family
 from .plans import commands
-from .plans.rules import parse_rank_model
+from .plans.rules import ScoreFunction, parse_rank_model
+from .sources import files
+from .sources.header import FIXED, parse_header
 
 RULES = """
 [Version]
@@ -385,8 +388,6 @@ for _name, _plugin, _sql in (("score_intervals", "AF", _AF_SCORE), ("score_inter
 
 @query("score_equal", "SELECT idx, CAST(q % 61 AS BIGINT) AS score FROM v")
 def score_equal(spark, sf_dir):
-    from .plans.rules import ScoreFunction
-
     return D.variants(spark, sf_dir).select("idx", ScoreFunction("integer", equal=True).column(V.info_value(F.col("info"), "MQ").cast("long")).alias("score"))
 
 
@@ -420,8 +421,7 @@ new AS (SELECT r.idx, CASE WHEN r.p % 2 = 0 AND low_only THEN greatest(score - 6
 SELECT n.idx, n.score AS rank_score, count(*) AS partners, round(sum(n.score + r.score), 3) AS total FROM new n JOIN ties b ON b.idx = n.idx JOIN ranks r ON r.idx = b.partner GROUP BY n.idx, n.score"""
 
 
-@query("compound_rescore", _RESCORE)
-def compound_rescore(spark, sf_dir):
+def _rescored(spark, sf_dir):
     """Variants with an even part follow only the compound model, the others the dominant one too."""
     model = parse_rank_model(RULES)
     batched = _batched(spark, sf_dir, D.ALONE)
@@ -431,7 +431,12 @@ def compound_rescore(spark, sf_dir):
     rows = rows.join(found, "idx", "left").join(parts, "idx")
     info = F.when(F.col("listed").isNull(), F.col("info")).otherwise(V.append_info(F.col("info"), "Compounds", F.concat(F.lit("1:"), "listed")))
     info = V.append_info(info, "GeneticModels", F.when(F.col("even"), "1:AR_comp").otherwise("1:AD|AR_comp"))
-    out = scores.compound_scores(rows.withColumn("info", info))
+    return scores.compound_scores(rows.withColumn("info", info))
+
+
+@query("compound_rescore", _RESCORE)
+def compound_rescore(spark, sf_dir):
+    out = _rescored(spark, sf_dir)
     listed = F.split(F.element_at(F.split("compounds", ":"), -1), r"\|")
     sums = F.transform(listed, lambda x: F.element_at(F.split(x, ">"), -1).cast("double"))
     total = F.aggregate(sums, F.lit(0.0), lambda a, b: a + b)
@@ -534,3 +539,142 @@ def families_present(spark, sf_dir):
 def filter_counts(spark, sf_dir):
     kept = filters.passes(filters.least_value(F.col("info"), "1000GAF"), 0.05)
     return D.variants(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), F.count(F.when(kept, 1)).alias("passed"))
+
+
+# -- places in an order, lines of files, and other rows that hold what the operators above are fed with
+
+_PLACE = "CASE c WHEN 0 THEN 23 WHEN 23 THEN 24 WHEN 24 THEN 25 ELSE c END"
+
+
+@query("order_by_place", f"SELECT idx, row_number() OVER (ORDER BY {_PLACE}, pos, idx) AS position FROM v")
+def order_by_place(spark, sf_dir):
+    return sorting.numbered(sorting.by_place(D.variants(spark, sf_dir)).select("idx"))
+
+
+@query("order_by_name", "SELECT idx, row_number() OVER (ORDER BY CASE c WHEN 24 THEN 23 WHEN 0 THEN 24 WHEN 23 THEN 25 ELSE c END, pos, idx) AS position FROM v")
+def order_by_name(spark, sf_dir):
+    return sorting.numbered(sorting.by_name(D.variants(spark, sf_dir)).select("idx"))
+
+
+@query("order_by_rank", f"SELECT idx, row_number() OVER (ORDER BY {_RANK} DESC, chrom || chr(9) || pos || chr(9) DESC) AS position FROM v")
+def order_by_rank(spark, sf_dir):
+    return sorting.numbered(sorting.by_rank(commands.score(D.variants(spark, sf_dir), parse_rank_model(RULES))).select("idx"))
+
+
+@query("variant_lines", "SELECT idx, chrom, pos, ref, alt, CAST(qual AS VARCHAR) AS qual, filter, 'GT:AD:GQ' AS format, father_gt AS gt, CAST(4 AS BIGINT) AS n FROM v")
+def variant_lines(spark, sf_dir):
+    header = parse_header(["##fileformat=VCFv4.2", "#" + "\t".join((*FIXED, "FORMAT", *D.SAMPLES))])
+    rows = D.variants(spark, sf_dir)
+    read = files.parse_variants(rows.select("idx", sorting.line_text(rows).alias("value")), header)
+    return read.select("idx", "chrom", "pos", "ref", "alt", "qual", "filter", "format", F.split(F.col("samples")[header.samples.index("father")], ":")[0].alias("gt"), F.size("samples").cast("long").alias("n"))
+
+
+@query("region_lines", "SELECT CAST(p_partkey % 22 + 1 AS VARCHAR) AS chrom, greatest(p_partkey * 3 - 4000, 0) AS start, p_partkey * 3 + p_size * 7 AS stop, p_brand AS symbol FROM part")
+def region_lines(spark, sf_dir):
+    r = D.regions(spark, sf_dir)
+    return files.parse_regions(r.select(F.lit(0).alias("idx"), F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), "start", "stop", "symbol").alias("value")))
+
+
+@query("frequency_lines", f", {D.SQL_FREQUENCIES} SELECT ord, chrom, pos, pos + k % 3 AS stop, ['A', 'C', 'G', 'T'][CAST(k % 4 + 1 AS INTEGER)] || ',' || ['A', 'C', 'G', 'T'][CAST((k + 1) % 4 + 1 AS INTEGER)] AS alts, '0.' || (k % 97) || ',0.' || (k % 89) AS af, '0.' || (k % 79) || ',0.' || (k % 73) AS max_af FROM f0")
+def frequency_lines(spark, sf_dir):
+    f = D.frequency_records(spark, sf_dir)
+    info = F.concat_ws(";", F.concat(F.lit("AF="), F.array_join("af", ",")), F.concat(F.lit("MAX_AF="), F.array_join("max_af", ",")), F.concat(F.lit("END="), F.col("end").cast("string")))
+    text = f.select(F.col("ord").alias("idx"), F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), F.col("pos").cast("string"), F.lit("."), F.lit("N"), F.array_join("alts", ","), F.lit("."), F.lit("PASS"), info).alias("value"))
+    read = files.parse_frequencies(files.parse_variants(text, parse_header(["#" + "\t".join(FIXED)])))
+    return read.select("ord", "chrom", "pos", F.col("end").alias("stop"), *[F.array_join(c, ",").alias(c) for c in ("alts", "af", "max_af")])
+
+
+@query("score_lines", f", {D.SQL_SCORES} SELECT ord, chrom, pos, alt, raw, phred FROM c3 WHERE source = 1")
+def score_lines(spark, sf_dir):
+    r = D.score_rows(spark, sf_dir).filter("source = 1")
+    text = r.select(F.col("ord").alias("idx"), F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), F.col("pos").cast("string"), F.lit("N"), "alt", "raw", "phred").alias("value"))
+    return files.parse_scores(text, 1).select("ord", "chrom", "pos", "alt", "raw", "phred")
+
+
+@query("pedigree_members", "SELECT CAST(n_regionkey AS VARCHAR) AS family, n_name AS name, CAST(n_nationkey % 3 AS BIGINT) AS sex, CAST(n_nationkey % 2 + 1 AS BIGINT) AS phenotype, n_nationkey % 2 = 1 AS affected FROM nation")
+def pedigree_members(spark, sf_dir):
+    """A pedigree is read on the driver, here one of the 25 nations."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()
+    text = "#Phenotype\tSampleID\tFamilyID\tSex\tMother\tFather\tNote\n" + "".join(f"{r.n_nationkey % 2 + 1}\t{r.n_name}\t{r.n_regionkey}\t{r.n_nationkey % 3}\t0\t0\tx\n" for r in nations)
+    return spark.createDataFrame([(f.name, m.name, m.sex, m.phenotype, m.affected) for f in files.parse_pedigree(text, "alt") for m in f], "family string, name string, sex long, phenotype long, affected boolean")
+
+
+@query("repeated_ids", "SELECT first AS idx, c AS run, b AS batch, vid AS variant_id, q FROM (SELECT *, min(idx) OVER (PARTITION BY c, b, vid) AS first, row_number() OVER (PARTITION BY c, b, vid ORDER BY idx DESC) AS nth FROM (SELECT idx, c, pos // 200 AS b, 'v' || (pos % 50) AS vid, q FROM v)) WHERE nth = 1")
+def repeated_ids(spark, sf_dir):
+    n = D.numbers(spark, sf_dir)
+    rows = n.select((F.col("c") * (1 << 40) + F.col("pos")).alias("idx"), F.col("c").alias("run"), F.floor(F.col("pos") / 200).alias("batch"), F.concat(F.lit("v"), (F.col("pos") % 50).cast("string")).alias("variant_id"), "q")
+    return batches.last_of_each_id(rows)
+
+
+@query("chromosome_names", "SELECT idx, CASE WHEN idx % 4 = 3 AND chrom = 'MT' THEN 'M' ELSE chrom END AS name FROM v")
+def chromosome_names(spark, sf_dir):
+    prefix = F.element_at(F.array(*map(F.lit, ("chr", "Chr", "CHR", ""))), (F.col("idx") % 4 + 1).cast("int"))
+    return D.variants(spark, sf_dir).select("idx", TX.annotation_chrom(F.concat(prefix, "chrom")).alias("name"))
+
+
+@query("phased_pairs", _sql_pairs(
+    "NOT proband_alt AND NOT mother_alt AND proband_het",
+    "NOT (a.mother_has AND b.mother_has) AND NOT (a.mother_het AND b.mother_het) AND NOT ((a.pos // 20) % 2 = (b.pos // 20) % 2 AND (a.proband_gt[1] = b.proband_gt[1] OR CASE WHEN length(a.proband_gt) < 3 THEN '.' ELSE a.proband_gt[3] END = CASE WHEN length(b.proband_gt) < 3 THEN '.' ELSE b.proband_gt[3] END))", "true", "true",
+) + " SELECT * FROM pairs")
+def phased_pairs(spark, sf_dir):
+    """Two phase sets that change every 20 places."""
+    phase = F.concat(F.lit(":"), (F.floor(F.col("pos") / 20) % 2).cast("string"))
+    rows = D.variants(spark, sf_dir).withColumn("format", F.lit("GT:AD:GQ:PS")).withColumn("samples", F.transform("samples", lambda x: F.concat(x, phase)))
+    rows = rows.withColumn("features", V.features(F.col("info"))).withColumn("variant_id", V.variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
+    batched = batches.last_of_each_id(batches.batches(commands.with_calls(rows, D.SAMPLES, [m.name for m in D.DUO])))
+    return compounds.pairs(batched, D.DUO, phased=True).select("idx_1", "idx_2", "comp", "comp_dn")
+
+
+_WIDTH = f"CAST({_HIGH - _LOW} AS DOUBLE)"
+
+
+@query("compound_rescore_normalised", _RESCORE.split("SELECT n.idx")[0].rstrip() + f""",
+norms AS (SELECT idx, name, p, (score - ({_LOW})) / {_WIDTH} AS norm FROM ranks),
+quiet AS (SELECT b.idx, NOT bool_or(r.norm > (9 - ({_LOW})) / {_WIDTH}) AS low_only FROM ties b JOIN norms r ON r.idx = b.partner GROUP BY b.idx),
+fresh AS (SELECT r.idx, CASE WHEN r.p % 2 = 0 AND low_only THEN greatest(norm - 6 / {_WIDTH}, 0) ELSE norm END AS norm FROM norms r JOIN quiet USING (idx))
+SELECT n.idx, round(n.norm, 6) AS norm, string_agg(r.name, '|' ORDER BY r.name) AS ids, round(sum(n.norm + r.norm), 4) AS total FROM fresh n JOIN ties b ON b.idx = n.idx JOIN norms r ON r.idx = b.partner GROUP BY n.idx, n.norm""")
+def compound_rescore_normalised(spark, sf_dir):
+    listed = F.split(F.element_at(F.split("compounds_normalized", ":"), -1), r"\|")
+    total = F.aggregate(F.transform(listed, lambda x: F.split(x, ">")[1].cast("double")), F.lit(0.0), lambda a, b: a + b)
+    ids = F.array_join(F.array_sort(F.transform(listed, lambda x: F.split(x, ">")[0])), "|")
+    return _rescored(spark, sf_dir).select("idx", F.round(F.element_at(F.split("rank_score_normalized", ":"), -1).cast("double"), 6).alias("norm"), ids.alias("ids"), F.round(total, 4).alias("total"))
+
+
+@query("families_of_rows", "SELECT DISTINCT family FROM (SELECT 'F' || (p % 7) AS family FROM v UNION ALL SELECT 'G' || (s % 5) FROM v WHERE p % 3 = 0)")
+def families_of_rows(spark, sf_dir):
+    n = D.numbers(spark, sf_dir)
+    second = F.when(F.col("p") % 3 == 0, F.concat(F.lit("G"), (F.col("s") % 5).cast("string"), F.lit(":XD")))
+    rows = n.select(F.concat(F.lit("MQ=1;GeneticModels="), F.concat_ws(",", F.concat(F.lit("F"), (F.col("p") % 7).cast("string"), F.lit(":AD|AR_hom")), second)).alias("info"))
+    return summaries.families_present(rows)
+
+
+@query("filter_counters", "SELECT count(*) AS total, count(*) FILTER (CASE WHEN af IS NULL OR af = 0 THEN true ELSE af < 0.05 END) AS passed, count(*) FILTER (NOT CASE WHEN af IS NULL OR af = 0 THEN true ELSE af < 0.05 END) AS removed FROM v")
+def filter_counters(spark, sf_dir):
+    kept, seen = filters.with_counters(D.variants(spark, sf_dir), filters.passes(filters.least_value(F.col("info"), "1000GAF"), 0.05), f"counters-{uuid.uuid4().hex}")
+    kept.write.format("noop").mode("overwrite").save()
+    counts = seen.get
+    return spark.createDataFrame([(counts["total"], counts["passed"], counts["removed"])], "total long, passed long, removed long")
+
+
+@query("prune_partners", "SELECT idx, array_to_string(list_filter(features, lambda x: x = 'G' || (pos // 40 + s % 2)), '|') AS kept FROM v")
+def prune_partners(spark, sf_dir):
+    rows = D.variants(spark, sf_dir).join(D.numbers(spark, sf_dir).select((F.col("c") * (1 << 40) + F.col("pos")).alias("idx"), "s"), "idx")
+    retained = F.array(F.concat(F.lit("G"), (F.floor(F.col("pos") / 40) + F.col("s") % 2).cast("string")))
+    return rows.select("idx", F.array_join(filters.prune_partners(V.features(F.col("info")), retained), "|").alias("kept"))
+
+
+@query("json_rows", "SELECT CAST(to_json({'idx': idx, 'chrom': chrom, 'pos': pos, 'filter': filter}) AS VARCHAR) AS value FROM v")
+def json_rows(spark, sf_dir):
+    return summaries.as_json(D.variants(spark, sf_dir).select("idx", "chrom", "pos", "filter"))
+
+
+@query("score_fractions", "SELECT idx, CAST(CASE WHEN q % 100 = 0 THEN -1 WHEN q % 100 < 10 THEN 1 WHEN q % 100 < 30 THEN 2 WHEN q % 100 < 90 THEN 3 ELSE 0 END AS BIGINT) AS score FROM v")
+def score_fractions(spark, sf_dir):
+    rule = ScoreFunction("float", intervals=[(0, 10, 1.9), (10, 30, 2.9), (30, 90, 3.2)], not_reported=-1.7)
+    return D.variants(spark, sf_dir).select("idx", rule.column(F.col("qual").cast("double")).alias("score"))
+
+
+@query("numbers_in_text", "SELECT idx, p % 5 IN (0, 1, 4) AS number FROM v")
+def numbers_in_text(spark, sf_dir):
+    text = F.element_at(F.array(*map(F.lit, (" 12 ", "1.5e3", "x7", "5d", "-.5"))), (F.col("p") % 5 + 1).cast("int"))
+    return D.numbers(spark, sf_dir).select((F.col("c") * (1 << 40) + F.col("pos")).alias("idx"), TX.is_number(text).alias("number"))
