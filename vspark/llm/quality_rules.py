@@ -168,8 +168,9 @@ def language_references(docs: DataFrame) -> References:
     ship(docs.sparkSession)
     known = docs.filter("lang is not null and text is not null").select("text", "lang")
     counts = known.mapInArrow(_counted, "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    nth = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
-    rows = counts.withColumn("nth", nth).filter(F.col("nth") <= F.when(F.col("kind") == WORD_KIND, OWN_WORDS).otherwise(STEPS + 1)).filter(F.col("nth") <= STEPS + 1).collect()
+    # Each share of a class stands by itself, so that one small limit holds for all and cuts the words in every task, before the shuffle.
+    nth = F.row_number().over(Window.partitionBy("lang", "kind", F.when(F.col("kind") >= 0, F.col("key"))).orderBy(F.desc("n"), "key"))
+    rows = counts.withColumn("nth", nth).filter(F.col("nth") <= OWN_WORDS).collect()
     found: dict[str, dict[int, list]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["kind"], r["nth"])):
         found.setdefault(r["lang"], {}).setdefault(r["kind"], []).append((r["key"], r["n"]))
