@@ -227,7 +227,7 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence
 
 
 def encoded_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """docs without text, with token_ids and the digests of token_digests, all from one pass."""
+    """docs without text, with token_ids and the digests of token_digests, all from one pass. Null, empty and long texts, repeated rows: as in token_digests. Empty tables: no rows."""
 
     def row(coder: ByteBPE, text: str) -> tuple:
         ids = coder.encode(text)
@@ -237,12 +237,12 @@ def encoded_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """docs with token_ids: the ids as little-endian unsigned 32-bit integers; null text gives no ids."""
+    """docs with token_ids: the ids as little-endian unsigned 32-bit integers; null text gives no ids. Empty tables: no rows."""
     return _over(docs, ranks_path, pattern, docs.columns, IDS, lambda coder, text: (coder.encode(text),))
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """The rows of encode_texts with decoded: the bytes of token_ids; null ids give no bytes."""
+    """The rows of encode_texts with decoded: the bytes of token_ids; null ids give no bytes. Empty tables: no rows."""
     with open(ranks_path, "rb") as f:
         raw = encoded.sparkSession.sparkContext.broadcast(f.read())
     added = T.StructType([T.StructField("decoded", T.BinaryType())])
