@@ -49,7 +49,8 @@ def info_map(info: Column) -> Column:
 
 def info_entry(key: str, value: Column | None = None) -> Column:
     """key=value, or the key alone as a flag if value is empty or not given; null stays null, so that it adds nothing."""
-    return F.lit(key) if value is None else F.when(value == "", F.lit(key)).when(value.isNotNull(), F.concat(F.lit(f"{key}="), value))
+    # The value stands here once, as it may be costly.
+    return F.lit(key) if value is None else F.regexp_replace(F.concat(F.lit(f"{key}="), value), rf"^(\Q{key}\E)=\z", "$1")
 
 
 def append_entries(info: Column, *entries: Column) -> Column:

@@ -265,10 +265,11 @@ b{k + 1} AS (SELECT s{k}.idx, c, features, CASE WHEN brk = 1 OR NOT coalesce(aga
     return ",".join(views) + f", bt AS (SELECT idx, CAST(sum(brk) OVER (PARTITION BY c ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS batch FROM b{_ROUNDS})"
 
 
-def _batched(spark, sf_dir, family):
+def _batched(spark, sf_dir, family, scored=lambda rows: rows):
+    """scored: what else each row gets before the joins and windows of batches, so that it is computed where the rows are read."""
     rows = D.variants(spark, sf_dir).withColumn("features", V.features(F.col("info")))
     rows = rows.withColumn("variant_id", V.variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
-    return batches.last_of_each_id(batches.batches(commands.with_calls(rows, D.SAMPLES, [m.name for m in family])))
+    return batches.last_of_each_id(batches.batches(commands.with_calls(scored(rows), D.SAMPLES, [m.name for m in family])))
 
 
 @query("batches", f"{_sql_batches()} SELECT idx, batch FROM bt")
@@ -424,11 +425,10 @@ SELECT n.idx, n.score AS rank_score, count(*) AS partners, round(sum(n.score + r
 def _rescored(spark, sf_dir):
     """Variants with an even part follow only the compound model, the others the dominant one too."""
     model = parse_rank_model(RULES)
-    batched = _batched(spark, sf_dir, D.ALONE)
+    batched = _batched(spark, sf_dir, D.ALONE, lambda rows: scores.write_scores(scores.score_variants(rows, model), model))
     found = compounds.partners(compounds.pairs(batched, D.ALONE)).select("idx", F.array_join("compounds", "|").alias("listed"))
     parts = D.numbers(spark, sf_dir).select((F.col("c") * (1 << 40) + F.col("pos")).alias("idx"), (F.col("p") % 2 == 0).alias("even"))
-    rows = scores.write_scores(scores.score_variants(batched, model), model)
-    rows = rows.join(found, "idx", "left").join(parts, "idx")
+    rows = batched.join(found, "idx", "left").join(parts, "idx")
     info = F.when(F.col("listed").isNull(), F.col("info")).otherwise(V.append_info(F.col("info"), "Compounds", F.concat(F.lit("1:"), "listed")))
     info = V.append_info(info, "GeneticModels", F.when(F.col("even"), "1:AR_comp").otherwise("1:AD|AR_comp"))
     return scores.compound_scores(rows.withColumn("info", info))
