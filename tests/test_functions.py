@@ -85,3 +85,10 @@ def test_features_and_ranks(spark):
 def test_natural_key(spark):
     df = spark.createDataFrame([(c,) for c in ("chr10", "chr2", "chrX", "chr1")], "c string")
     assert [r[0] for r in df.orderBy(TX.natural_key(F.col("c"))).collect()] == ["chr1", "chr2", "chr10", "chrX"]
+
+
+def test_entries_of_any_value(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, ""), (3, None), (4, "a=b"), (5, "="), (6, "\n")], "idx long, value string")
+    for key in ("K", "K.1", "a$1"):
+        got = {r.idx: r.e for r in rows.select("idx", V.info_entry(key, F.col("value")).alias("e")).collect()}
+        assert got == {1: f"{key}=x", 2: key, 3: None, 4: f"{key}=a=b", 5: f"{key}==", 6: f"{key}=\n"}
