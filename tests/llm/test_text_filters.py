@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -445,6 +446,40 @@ def test_pairwise_fit_against_plain_descent():
     assert abs(below - 0.4) <= 0.4 / 50 + 0.6 / 60
 
 
+def test_quality_counts_all_labelled_documents_and_pairs(spark):
+    """More documents of a label than 5,000 and more pairs than 60,000, against Newton steps over all pairs one by one."""
+    marks = random.Random(4)
+    rows = [(i, " ".join(marks.choice(("ab", "Cd", "e.", "f1", "|g")[: 5 if i % 120 == 0 or marks.random() < 0.1 else 4]) for _ in range(marks.randint(3, 12))), "en", "s") for i in range(7_200)]
+    labels = spark.createDataFrame([(i, int(i % 120 > 0), 0) for i in range(7_200)], "doc_id long, quality int, toxic int")
+    model = QC.fit_quality(documents(spark, rows).repartition(3), labels)
+    learned = [(int(i % 120 > 0), QC.features(text)) for i, text, _, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    y, x = np.array([r[0] for r in learned]), np.array([r[1] for r in learned])
+    assert (y == 1).sum() > 5_000
+    assert model.mean == pytest.approx(x.mean(axis=0), abs=1e-9) and model.spread == pytest.approx(x.std(axis=0) + 1e-6, abs=1e-9)
+    z = np.clip((x - model.mean) / model.spread, -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    assert len(d) > 60_000
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        lost = 1 / (1 + np.exp(d @ w))
+        w += np.linalg.solve((d * (lost * (1 - lost))[:, None]).T @ d / len(d) + QC.RIDGE * np.eye(len(w)), d.T @ lost / len(d) - QC.RIDGE * w)
+    assert model.weights == pytest.approx(w, abs=1e-3)
+    scores, bad = np.sort(model.raw(x)), (y == 0).sum()
+    assert model.cut == pytest.approx((scores[bad - 1] + scores[bad]) / 2, abs=1e-9)
+
+
+def test_quality_cut_of_ties_and_dealt_parts():
+    """The cut is that of the sorted scores, and neither it nor the weights depend on how documents are dealt."""
+    rng = np.random.default_rng(5)
+    for n in range(4, 40):
+        x, y = rng.integers(0, 4, (n, 2)).astype(float), np.arange(n) % 3 // 2
+        whole = QC.fit(lambda part: [part([(x, y)])])  # noqa: B023
+        parts = QC.fit(lambda part: [part([(x[k::3], y[k::3])]) for k in range(min(3, n))])  # noqa: B023
+        scores, bad = np.sort(whole.raw(x)), (y == 0).sum()
+        assert whole.cut == pytest.approx((scores[bad - 1] + scores[bad]) / 2, abs=1e-12)
+        assert parts.weights == pytest.approx(whole.weights, abs=2e-9) and parts.cut == pytest.approx(whole.cut, abs=1e-7)
+
+
 def test_next_texts_by_text_ids(spark, monkeypatch):
     monkeypatch.setattr(FP, "ROWS_A_PART", 3)
     names = sorted(f"d{i}\"x" for i in range(30))
