@@ -92,3 +92,34 @@ def test_entries_of_any_value(spark):
     for key in ("K", "K.1", "a$1"):
         got = {r.idx: r.e for r in rows.select("idx", V.info_entry(key, F.col("value")).alias("e")).collect()}
         assert got == {1: f"{key}=x", 2: key, 3: None, 4: f"{key}=a=b", 5: f"{key}==", 6: f"{key}=\n"}
+
+
+def test_numbers_of_a_list_equal_those_of_its_entries(spark):
+    texts = ["0.05", "1,2.5,x", " 3 ,-.5", "", ",", "1_000,7", "5d,6", "inf,nan", "NaN,-1e-3", "1.", "+4,0x1p3", "12abc,3", None, "99999999999999999999,1", "1;2,3"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    for whole, of in ((False, TX.to_float), (True, TX.to_int)):
+        for separators in (",", ",;"):
+            entries = F.filter(F.transform(F.split("x", f"[{separators}]"), of), lambda n: n.isNotNull())
+            for pick in (F.array_max, F.array_min):
+                got = rows.select(pick(TX.numbers_in(F.col("x"), separators, whole)).cast("string").alias("a"), pick(entries).cast("string").alias("b")).collect()
+                assert [r.a for r in got] == [r.b for r in got]
+    assert TX.numbers_in(F.col("x"), ".") is None and TX.numbers_in(F.col("x"), ",e") is None and TX.numbers_in(F.col("x"), "") is None
+
+
+def test_info_values_by_plain_searches(spark):
+    infos = ["A=1", "A=1;A", "A;A=1", "A", "A=;A=2", "A=2;A=", "A=x=y", "A=1;A=x=y", "XA=1;AX=2", "A=1;B=2;XA=3", ".", "", ";A=1;", "A=é;B", None]
+
+    def last(info):
+        found = [e.split("=") for e in (info or "").split(";") if e.split("=")[0] == "A"]
+        return found[-1][1] if found and len(found[-1]) == 2 else None
+
+    # Of an entry that is not one key and one value no search may find a part.
+    assert one(spark, infos, V.info_value(F.col("x"), "A")) == [last(i) for i in infos]
+    assert one(spark, infos, V.has_info(F.col("x"), "A")) == [any(e.split("=")[0] == "A" for e in (i or "").split(";")) for i in infos]
+
+
+def test_ranks_of_a_family_by_its_last_entry(spark):
+    ranks = ["RankScore=1:2,2:3,1:4", "RankScore=12:9,1:8", "RankScore=1", "RankScore=1:", "RankScore=1:5:6", "RankScore=2:1,1:x", "RankScore=a=b;RankScore=1:7", None]
+    assert one(spark, ranks, V.family_score(F.col("x"), "1")) == [4.0, 8.0, -100.0, -100.0, 5.0, -100.0, 7.0, -100.0]
+    assert one(spark, ranks, V.family_score(F.col("x"))) == [4.0, 8.0, -100.0, -100.0, 5.0, -100.0, 7.0, -100.0]
+    assert one(spark, ranks[:2], V.family_score(F.col("x"), "1:2")) == [-100.0, -100.0]
