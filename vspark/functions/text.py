@@ -45,12 +45,13 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def apart(value: Column, kind: str) -> Column:
-    """value (of the type `kind`) in a projection outside of whole-stage code.
+    """value (of the type `kind`) in a projection outside of whole-stage code, that later filters stay behind.
 
-    There all expressions of a stage become one method, and the JVM does not compile methods of more than 8,000 bytes; a projection
-    of its own is split. It is the function of the second branch that keeps it out; that is evaluated for nulls only, and gives null.
+    In whole-stage code all expressions of a stage become one method, and the JVM does not compile methods of more than 8,000 bytes; a
+    projection of its own is split. A filter that is moved before a projection takes a copy of each column for each place that uses it.
+    The number of the partition, which always passes, and the function of the second branch, which is never evaluated, prevent both.
     """
-    return F.coalesce(value, F.transform(F.array(F.lit(None).cast(kind)), lambda x: x)[0])
+    return F.when(F.spark_partition_id() >= 0, value).otherwise(F.transform(F.array(F.lit(None).cast(kind)), lambda x: x)[0])
 
 
 def float_text(value: Column) -> Column:

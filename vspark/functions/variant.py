@@ -83,44 +83,75 @@ def variant_id(chrom: Column, pos: Column, ref: Column, alt: Column, info: Colum
     return F.concat(base, F.when(alt.rlike(r"[<>\[\]:]"), suffix).otherwise(F.lit("")))
 
 
+#: The FORMAT keys of a call.
+CALL_FIELDS = ("GT", "AD", "DP", "GQ", "PS")
+
+
 def sample_field(format_: Column, sample: Column, key: str) -> Column:
     """A sample's value of a FORMAT key; null if the key or the value is not there."""
     at = F.array_position(F.split(format_, ":"), F.lit(key)).cast("int")
-    return F.when(at > 0, F.get(F.split(sample, ":"), at - 1))
+    value = F.when(at > 0, F.get(F.split(sample, ":"), at - 1))
+    # What stands first needs no list.
+    return F.when((format_ == key) | format_.startswith(f"{key}:"), F.substring_index(sample, ":", 1)).otherwise(value)
+
+
+def _given(value: Column | None) -> Column:
+    return F.lit(None).cast("string") if value is None else F.when(value != "", value)
+
+
+def call_text(gt: Column) -> Column:
+    return F.coalesce(_given(gt), F.lit("./."))
+
+
+def first_allele(text: Column) -> Column:
+    return F.when(text.contains("|"), F.substring_index(text, "|", 1)).otherwise(F.substring_index(text, "/", 1))
+
+
+def second_allele(text: Column) -> Column:
+    second = lambda mark: F.substring_index(F.substring_index(text, mark, 2), mark, -1)
+    return F.when(text.contains("|"), second("|")).when(text.contains("/"), second("/")).otherwise(".")
+
+
+def call_depths(ad: Column | None) -> Column:
+    return F.split(F.coalesce(_given(ad), F.lit(".,.")), ",")
+
+
+def allele_flags(text: Column, a1: Column, a2: Column) -> dict[str, Column]:
+    """called; reference: two alleles of 0 or .; same: two equal ones."""
+    return {"called": ~text.isin("./.", ".|.", "."), "reference": a1.isin("0", ".") & a2.isin("0", "."), "same": a1 == a2}
+
+
+def call(text: Column, a1: Column, a2: Column, called: Column, reference: Column, same: Column, depths: Column, dp: Column | None, gq: Column | None, ps: Column | None) -> Column:
+    """The struct of a genotype from its parts, each a column that is taken several times."""
+    depth = lambda d: F.when(d.rlike("^[0-9]+$"), d.cast("long")).otherwise(F.lit(0).cast("long"))
+    reads = depth(F.get(depths, F.lit(0)))
+    others = F.when(F.size(depths) < 3, depth(F.get(depths, F.lit(1)))).otherwise(F.aggregate(F.slice(depths, 2, F.size(depths)), F.lit(0).cast("long"), lambda m, d: m + depth(d)))
+    return F.struct(
+        text.alias("gt"), a1.alias("a1"), a2.alias("a2"), text.contains("|").alias("phased"), called.alias("genotyped"), (called & ~reference & ~same).alias("het"),
+        (called & ~reference & same).alias("homo_alt"), (called & reference).alias("homo_ref"), (called & ~reference).alias("has_variant"),
+        reads.alias("ref_depth"), others.alias("alt_depth"), (reads + others).alias("quality_depth"), F.coalesce(to_int(_given(dp)), F.lit(0)).cast("long").alias("dp"),
+        F.coalesce(to_float(_given(gq)), F.lit(0.0)).alias("gq"), (F.lit(None).cast("string") if ps is None else ps).alias("ps"),
+    )
 
 
 def genotype(gt: Column, ad: Column | None = None, dp: Column | None = None, gq: Column | None = None, ps: Column | None = None) -> Column:
-    """A genotype call as a struct.
+    """A genotype call as a struct, as one expression; operators.genotypes makes the same of columns one on another.
 
     Any call but ./., .|. and . is genotyped; two alleles of 0 or . are homozygous reference, two equal ones homozygous
     alternative, all else heterozygous, a single alternative allele included. Null or empty: not called.
     """
     null = F.lit(None).cast("string")
-    empty = lambda c: F.when(c != "", c) if c is not None else null
-    text = F.coalesce(empty(gt), F.lit("./."))
-    depths = F.transform(F.split(F.coalesce(empty(ad), F.lit(".,.")), ","), lambda d: F.when(d.rlike("^[0-9]+$"), d.cast("long")).otherwise(F.lit(0).cast("long")))
-    fields = F.struct(
-        text.alias("gt"), F.when(text.contains("|"), F.split(text, r"\|")).otherwise(F.split(text, "/")).alias("alleles"), depths.alias("depths"),
-        F.coalesce(to_int(empty(dp)), F.lit(0)).cast("long").alias("dp"), F.coalesce(to_float(empty(gq)), F.lit(0.0)).alias("gq"), (ps if ps is not None else null).alias("ps"),
-    )
-    return bind(fields, _classified)
+    fields = {"text": call_text(gt), "depths": call_depths(ad), "dp": null if dp is None else dp, "gq": null if gq is None else gq, "ps": null if ps is None else ps}
 
+    def alleles(x: Column) -> Column:
+        more = {"a1": first_allele(x["text"]), "a2": second_allele(x["text"])}
+        return bind(F.struct(*[x[k].alias(k) for k in fields], *[c.alias(k) for k, c in more.items()]), lambda y: call(**{k: y[k] for k in (*fields, *more)}, **allele_flags(y["text"], y["a1"], y["a2"])))
 
-def _classified(x: Column) -> Column:
-    gt, a1, a2 = x["gt"], x["alleles"][0], F.coalesce(F.get(x["alleles"], F.lit(1)), F.lit("."))
-    called = ~gt.isin("./.", ".|.", ".")
-    reference = called & a1.isin("0", ".") & a2.isin("0", ".")
-    homozygous = called & ~reference & (a1 == a2)
-    total = F.aggregate(x["depths"], F.lit(0).cast("long"), lambda m, n: m + n)
-    return F.struct(
-        gt.alias("gt"), a1.alias("a1"), a2.alias("a2"), gt.contains("|").alias("phased"), called.alias("genotyped"), (called & ~reference & (a1 != a2)).alias("het"),
-        homozygous.alias("homo_alt"), reference.alias("homo_ref"), (called & ~reference).alias("has_variant"),
-        x["depths"][0].alias("ref_depth"), (total - x["depths"][0]).alias("alt_depth"), total.alias("quality_depth"), x["dp"].alias("dp"), x["gq"].alias("gq"), x["ps"].alias("ps"),
-    )
+    return bind(F.struct(*[c.alias(k) for k, c in fields.items()]), alleles)
 
 
 def sample_genotype(format_: Column, sample: Column) -> Column:
-    return genotype(*[sample_field(format_, sample, k) for k in ("GT", "AD", "DP", "GQ", "PS")])
+    return genotype(*[sample_field(format_, sample, k) for k in CALL_FIELDS])
 
 
 def features(info: Column, key: str = "Annotation") -> Column:

@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.variant import info_value, sample_genotype
+from ..functions.variant import info_value
+from .genotypes import with_genotypes
 
 
 def genotypes(variants: DataFrame, samples: Sequence[str]) -> DataFrame:
     """Long form: a row for each variant and sample, with the call as a struct."""
-    called = F.array(*[F.struct(F.lit(s).alias("sample"), sample_genotype(F.col("format"), F.get("samples", F.lit(i))).alias("call")) for i, s in enumerate(samples)])
-    return variants.select("idx", "chrom", "pos", F.explode(called).alias("g")).select("idx", "chrom", "pos", "g.sample", "g.call")
+    rows = with_genotypes(variants, {str(i): F.get("samples", F.lit(i)) for i in range(len(samples))}, "__calls")
+    called = F.array(*[F.struct(F.lit(s).alias("sample"), F.col("__calls")[str(i)].alias("call")) for i, s in enumerate(samples)])
+    return rows.select("idx", "chrom", "pos", F.explode(called).alias("g")).select("idx", "chrom", "pos", "g.sample", "g.call")
 
 
 def sample_counts(variants: DataFrame, samples: Sequence[str]) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import annotation_chrom, float_text
-from ..functions.variant import append_entries, features, gene_features, has_info, info_entry, sample_genotype, variant_id
+from ..functions.variant import append_entries, features, gene_features, has_info, info_entry, variant_id
 from ..operators import annotation, batches, compounds, models, scores
+from ..operators.genotypes import with_genotypes
 from ..operators.models import Family
 from .rules import RankModel
 
@@ -49,8 +50,7 @@ def annotate(
 
 def with_calls(variants: DataFrame, samples: Sequence[str], members: Sequence[str]) -> DataFrame:
     """variants with calls: a struct of genotypes by member; only their samples are parsed."""
-    calls = [sample_genotype(F.col("format"), F.get("samples", F.lit(samples.index(m)))).alias(m) for m in members]
-    return variants.withColumn("calls", F.struct(*calls))
+    return with_genotypes(variants, {m: F.get("samples", F.lit(samples.index(m))) for m in members})
 
 
 def annotate_models(
