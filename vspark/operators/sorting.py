@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chromosome_priority, natural_key
 from ..functions.variant import family_score
-from ..plans.checkpoint import cut
+from ..plans.checkpoint import stored
 
 LINE = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 
@@ -21,10 +21,12 @@ def line_text(variants: DataFrame) -> Column:
 def by_rank(variants: DataFrame, key: str = "RankScore", family: str | None = None) -> DataFrame:
     """Highest rank first, those without one at -100; ties by the whole line, backwards. The order is by ranges over the cluster, and spills.
 
-    Rows are cut first: an order by ranges reads its input twice, once for the ranges.
+    Rows are stored first: an order by ranges reads its input twice, once for the ranges. Lines are a column, as an order compares
+    rows many times and would put both lines together each time.
     """
-    ranked = cut(variants.withColumn("__rank", family_score(F.col("info"), family, key)))
-    return ranked.orderBy(F.col("__rank").desc(), line_text(ranked).desc()).drop("__rank")
+    ranked = stored(variants.withColumn("__rank", family_score(F.col("info"), family, key)))
+    ranked = ranked.withColumn("__line", line_text(ranked.drop("__rank")))
+    return ranked.orderBy(F.col("__rank").desc(), F.col("__line").desc()).drop("__rank", "__line")
 
 
 def by_place(variants: DataFrame, custom: dict[str, str] | None = None) -> DataFrame:
@@ -39,7 +41,7 @@ def by_name(variants: DataFrame) -> DataFrame:
 
 def numbered(ordered: DataFrame, name: str = "position") -> DataFrame:
     """The rows of an ordered table with their place from 1: counts of the order's ranges are summed up, one row a range."""
-    rows = cut(ordered.withColumn("__at", F.monotonically_increasing_id()))
+    rows = stored(ordered.withColumn("__at", F.monotonically_increasing_id()))
     rows = rows.withColumn("__range", F.shiftright("__at", 33))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
