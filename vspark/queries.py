@@ -564,7 +564,7 @@ def order_by_rank(spark, sf_dir):
 def variant_lines(spark, sf_dir):
     header = parse_header(["##fileformat=VCFv4.2", "#" + "\t".join((*FIXED, "FORMAT", *D.SAMPLES))])
     rows = D.variants(spark, sf_dir)
-    read = files.parse_variants(rows.select("idx", sorting.line_text(rows).alias("value")), header)
+    read = files.parse_variants(rows.select("idx", TX.apart(sorting.line_text(rows), "string").alias("value")), header)
     return read.select("idx", "chrom", "pos", "ref", "alt", "qual", "filter", "format", F.split(F.col("samples")[header.samples.index("father")], ":")[0].alias("gt"), F.size("samples").cast("long").alias("n"))
 
 
